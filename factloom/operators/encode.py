@@ -192,35 +192,40 @@ def json_escape(v: Column) -> Column:
     return F.replace(F.replace(v, L("\\"), L("\\\\")), L('"'), L('\\"'))
 
 
+def jsonld_sorted(facts: Column) -> Column:
+    """Facts keyed and ordered as JSON-LD writes them: per subject, the type
+    first, then properties by IRI, values in order."""
+    return F.array_sort(F.transform(facts, lambda f: F.struct(
+        f["s"].alias("s"), F.when(f["dt"].isNull(), 0).otherwise(1).alias("t"),
+        F.when(f["dt"].isNull(), L("@type")).otherwise(pred_iri(f["p"])).alias("k"),
+        f["o"].alias("o"), f["dt"].alias("dt"))))
+
+
+def jsonld_from_sorted(arr: Column) -> Column:
+    """Expanded JSON-LD, one node per subject; linear in the number of facts."""
+    def one(f, i):
+        prev = _prev(arr, i)
+        nxt = F.when(i + 1 < F.size(arr), F.element_at(arr, i + 2))
+        open_node = (i == 0) | (f["s"] != prev["s"])
+        close_node = nxt.isNull() | (f["s"] != nxt["s"])
+        open_key = open_node | (f["k"] != prev["k"])
+        close_key = close_node | (f["k"] != nxt["k"])
+        head = F.when(open_node, F.concat(F.when(i > 0, L(",\n")).otherwise(L("")),
+                                          L('  {\n    "@id": "' + RESOURCE_NS), json_escape(f["s"]), L('"'))
+                      ).otherwise(L(""))
+        key = F.when(open_key, F.concat(L(',\n    "'), f["k"], L('": [\n'))).otherwise(L(",\n"))
+        typ = F.when(f["dt"] == "xsd:string", L("")).otherwise(
+            F.concat(L('        "@type": "'), dt_iri(f["dt"]), L('",\n')))
+        val = F.when(f["t"] == 0, F.concat(L('      "' + ONTOLOGY_NS), json_escape(f["o"]), L('"'))).otherwise(
+            F.concat(L("      {\n"), typ, L('        "@value": "'), json_escape(f["o"]), L('"\n      }')))
+        tail = F.concat(F.when(close_key, L("\n    ]")).otherwise(L("")),
+                        F.when(close_node, L("\n  }")).otherwise(L("")))
+        return F.concat(head, key, val, tail)
+    return F.concat(L("[\n"), _join(F.transform(arr, one)), L("\n]"))
+
+
 def jsonld(facts: Column) -> Column:
-    """Expanded JSON-LD, one node per subject, keys ordered by IRI."""
-    def node(start: Column) -> Column:
-        s = F.element_at(facts, start + 1)["s"]
-        sub = F.filter(facts, lambda f: f["s"] == s)
-        types = F.transform(F.filter(sub, lambda f: f["dt"].isNull()),
-                            lambda f: F.concat(L('      "' + ONTOLOGY_NS), json_escape(f["o"]), L('"')))
-        lits = F.array_sort(F.transform(
-            F.filter(sub, lambda f: f["dt"].isNotNull()),
-            lambda f: F.struct(pred_iri(f["p"]).alias("k"), f["o"].alias("o"), f["dt"].alias("dt"))))
-
-        def value(x):
-            typ = F.when(x["dt"] == "xsd:string", L("")).otherwise(
-                F.concat(L('        "@type": "'), dt_iri(x["dt"]), L('",\n')))
-            return F.concat(L("      {\n"), typ, L('        "@value": "'), json_escape(x["o"]),
-                            L('"\n      }'))
-
-        def prop(j):
-            k = F.element_at(lits, j + 1)["k"]
-            vals = F.transform(F.filter(lits, lambda x: x["k"] == k), value)
-            return F.concat(L('    "'), k, L('": [\n'), _join(vals, ",\n"), L("\n    ]"))
-
-        props = F.transform(_groups(lits, "k"), prop)
-        type_block = F.when(F.size(types) > 0, F.array(F.concat(
-            L('    "@type": [\n'), _join(types, ",\n"), L("\n    ]")))).otherwise(F.array().cast("array<string>"))
-        members = F.concat(F.array(F.concat(L('    "@id": "' + RESOURCE_NS), json_escape(s), L('"'))),
-                           type_block, props)
-        return F.concat(L("  {\n"), _join(members, ",\n"), L("\n  }"))
-    return F.concat(L("[\n"), _join(F.transform(_groups(facts, "s"), node), ",\n"), L("\n]"))
+    return jsonld_from_sorted(jsonld_sorted(facts))
 
 
 # ---------------------------------------------------------------- L10 / L11 Turtle Light
@@ -298,6 +303,32 @@ def encode(facts: Column, syntax: str) -> Column:
     raise ValueError(f"unknown syntax {syntax!r}")
 
 
+def encode_by_column(df, facts_col: str, syntax_col: str, syntaxes, out: str):
+    """Serialise each row in the syntax named by its ``syntax_col`` value:
+    one projection with a CASE over the syntaxes (only the matching branch
+    runs per row).  JSON-LD's ordered array is its own column first."""
+    fc, sc = F.col(facts_col), F.col(syntax_col)
+    tmp = f"_{out}_sorted"
+    if "json-ld" in syntaxes:
+        df = df.withColumn(tmp, F.when(sc == "json-ld", jsonld_sorted(fc)))
+    expr = None
+    for syn in syntaxes:
+        e = jsonld_from_sorted(F.col(tmp)) if syn == "json-ld" else encode(fc, syn)
+        expr = F.when(sc == syn, e) if expr is None else expr.when(sc == syn, e)
+    return df.withColumn(out, expr).drop(tmp)
+
+
+def encode_into(df, facts_col: str, syntax: str, out: str):
+    """``encode`` as a DataFrame step; syntaxes that need an ordered
+    intermediate array get it as its own column first, so the optimizer does
+    not re-evaluate it inside the per-element lambda."""
+    if syntax == "json-ld":
+        tmp = f"_{out}_sorted"
+        return (df.withColumn(tmp, jsonld_sorted(F.col(facts_col)))
+                .withColumn(out, jsonld_from_sorted(F.col(tmp))).drop(tmp))
+    return df.withColumn(out, encode(F.col(facts_col), syntax))
+
+
 def prefixless_body(text: Column) -> Column:
     """Drop prefix declarations and blank lines of a serialisation."""
     lines = F.split(text, "\n")

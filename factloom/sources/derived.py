@@ -89,15 +89,25 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sort_array(F.collect_set("o_orderpriority")).alias("priorities")))
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy per-row work (serialise / decode / score):
+    at least the cluster's parallelism, so a small dimension scanned as one
+    file does not run all per-row expressions in one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    # nation is a fixed 25-row dimension: broadcast is size-bounded by design.
     return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")
             .join(order_summary(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left")
             .select(F.col("c_custkey").alias("ex_id"),
                     F.concat(F.lit(ENTITY_PREFIX), F.col("c_custkey").cast("string")).alias("ent"),
                     "c_name", "c_mktsegment", "n_name", "first_order", "last_order",
-                    "priorities"))
+                    "priorities")
+            .repartition(work_partitions(spark), "ex_id"))
 
 
 def facts_of(rows: DataFrame) -> DataFrame:
