@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from factloom.plans import q_codec, q_scoring  # noqa: F401
+    from factloom.plans import q_codec, q_history, q_scoring  # noqa: F401
