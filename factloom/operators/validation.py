@@ -108,12 +108,16 @@ def conforming_entities(report: DataFrame, ent: str = "ex_id") -> DataFrame:
                     .alias("conforms")))
 
 
-def infer_years(triples: DataFrame, date_rel: str, year_rel: str, ent: str = "ex_id") -> DataFrame:
-    """V4: add ``year_rel = first 4 chars of date`` for entities with a date and
-    no year (J7 left-anti), for every such row (Q14 fixed)."""
+def inferred_years(triples: DataFrame, date_rel: str, year_rel: str, ent: str = "ex_id") -> DataFrame:
+    """V4 rows: ``year_rel = first 4 chars of date`` for entities with a date
+    and no year (J7 left-anti), for every such row (Q14 fixed)."""
     dates = triples.where(F.col("p") == date_rel)
     have_year = triples.where(F.col("p") == year_rel).select(ent).distinct()
-    added = (dates.join(have_year, ent, "left_anti")
-             .withColumn("p", L(year_rel)).withColumn("o", F.substring("o", 1, 4))
-             .withColumn("dt", L("xsd:gYear")))
-    return triples.unionByName(added, allowMissingColumns=True)
+    return (dates.join(have_year, ent, "left_anti")
+            .withColumn("p", L(year_rel)).withColumn("o", F.substring("o", 1, 4))
+            .withColumn("dt", L("xsd:gYear")))
+
+
+def infer_years(triples: DataFrame, date_rel: str, year_rel: str, ent: str = "ex_id") -> DataFrame:
+    """V4: the triples plus the inferred years."""
+    return triples.unionByName(inferred_years(triples, date_rel, year_rel, ent), allowMissingColumns=True)
