@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from factloom.plans import q_build, q_codec, q_history, q_scoring, q_text  # noqa: F401
+    from factloom.plans import q_build, q_codec, q_history, q_io, q_scoring, q_text  # noqa: F401
