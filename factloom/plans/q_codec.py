@@ -190,13 +190,11 @@ def l12_prefixless_body(spark, sf_dir):
 
 def _decoded_side(spark, sf_dir, side: str, syntaxes=SYNTAXES):
     from factloom.plans.evaluation import decoded_predictions
-    from factloom.sources.derived import work_partitions
     dec = decoded_predictions(spark, sf_dir, syntaxes).select("syntax", "ex_id", f"{side}_triples")
-    # Exchange as a barrier: the generator below reads the decoded array as a
-    # column; without it the optimizer folds the decoder into the generator's
-    # input and re-evaluates it.
-    dec = dec.repartition(work_partitions(spark), "ex_id")
-    return dec.select("syntax", "ex_id", F.inline(f"{side}_triples"))
+    # inline_outer + a filter after the generator: a plain inline makes the
+    # optimizer infer size(array) > 0 and push that filter below the
+    # projections, evaluating the whole encode/decode expression twice.
+    return dec.select("syntax", "ex_id", F.inline_outer(f"{side}_triples")).where(F.col("s").isNotNull())
 
 
 _SYN = _values("syntax", SYNTAXES)

@@ -164,6 +164,9 @@ def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_triples(df: DataFrame, facts_col: str = "facts", keys=("ex_id",)) -> DataFrame:
-    """Array-of-facts → long triple table (ex_id, pos, s, p, o, dt); no shuffle."""
-    return df.select(*keys, F.posexplode(facts_col).alias("pos", "f")).select(
-        *keys, "pos", "f.s", "f.p", "f.o", "f.dt")
+    """Array-of-facts → long triple table (ex_id, pos, s, p, o, dt); no shuffle.
+    The outer generator + later filter keeps the optimizer from inferring a
+    size(facts) > 0 filter that would re-evaluate the facts expression."""
+    return (df.select(*keys, F.posexplode_outer(facts_col).alias("pos", "f"))
+            .where(F.col("pos").isNotNull())
+            .select(*keys, "pos", "f.s", "f.p", "f.o", "f.dt"))
