@@ -303,6 +303,18 @@ def encode(facts: Column, syntax: str) -> Column:
     raise ValueError(f"unknown syntax {syntax!r}")
 
 
+_EXPR_CACHE: dict = {}
+
+
+def cached_expr(spark, key, build):
+    """Column trees for the 17-syntax dispatch take seconds to build over
+    py4j; they are immutable, so one tree per session and key is reused."""
+    k = (id(spark._jsparkSession), key)
+    if k not in _EXPR_CACHE:
+        _EXPR_CACHE[k] = build()
+    return _EXPR_CACHE[k]
+
+
 def encode_by_column(df, facts_col: str, syntax_col: str, syntaxes, out: str):
     """Serialise each row in the syntax named by its ``syntax_col`` value:
     one projection with a CASE over the syntaxes (only the matching branch
@@ -311,10 +323,14 @@ def encode_by_column(df, facts_col: str, syntax_col: str, syntaxes, out: str):
     tmp = f"_{out}_sorted"
     if "json-ld" in syntaxes:
         df = df.withColumn(tmp, F.when(sc == "json-ld", jsonld_sorted(fc)))
-    expr = None
-    for syn in syntaxes:
-        e = jsonld_from_sorted(F.col(tmp)) if syn == "json-ld" else encode(fc, syn)
-        expr = F.when(sc == syn, e) if expr is None else expr.when(sc == syn, e)
+
+    def build():
+        expr = None
+        for syn in syntaxes:
+            e = jsonld_from_sorted(F.col(tmp)) if syn == "json-ld" else encode(fc, syn)
+            expr = F.when(sc == syn, e) if expr is None else expr.when(sc == syn, e)
+        return expr
+    expr = cached_expr(df.sparkSession, ("enc", facts_col, syntax_col, tuple(syntaxes), out), build)
     return df.withColumn(out, expr).drop(tmp)
 
 
