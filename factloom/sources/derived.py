@@ -91,10 +91,10 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for CPU-heavy per-row work (serialise / decode / score):
-    at least the cluster's parallelism, so a small dimension scanned as one
-    file does not run all per-row expressions in one task."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               spark.sparkContext.defaultParallelism)
+    the cluster's total cores, so a small dimension scanned as one file does
+    not run all per-row expressions in one task, and a tiny input does not
+    become hundreds of near-empty tasks."""
+    return spark.sparkContext.defaultParallelism
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
