@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe
+from factloom.llm import byte_bpe, exact_dedup, line_dedup, pii
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -16,3 +17,37 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+@query("op6_line_dedup", """
+WITH l AS (SELECT doc_id, i, lines[i] AS line,
+    translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+gone AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone.key IS NOT NULL) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone USING (key) GROUP BY doc_id
+""")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 1 character found in at least 10 documents go everywhere."""
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), 10, 1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text."""
+    return pii.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
+
+
+@query("op10_exact_dedup", r"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+WINDOW w AS (PARTITION BY norm)
+""")
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the smallest doc_id stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
