@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, exact_dedup, line_dedup, pii
+from factloom.llm import best_fit, byte_bpe, exact_dedup, line_dedup, pii
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -51,3 +51,11 @@ WINDOW w AS (PARTITION BY norm)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the smallest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, tokenised and packed into sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cut = best_fit.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return best_fit.pack(cut, 2048)
