@@ -107,7 +107,7 @@ def _packed_groups(items: DataFrame, groups: int, round_: int, capacity: int) ->
 
 def pack(cut: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """Pieces with ``sequence_id`` and their ``offset`` there."""
-    cut = staged(cut.withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    cut = staged(cut.withColumnRenamed("id", "doc").withColumn("pid", F.monotonically_increasing_id()), "pieces")
     placed = cut.withColumn("sequence_id", -1 - F.col("pid")).withColumn("offset", F.lit(0).cast("long"))
     items = cut.filter(F.col("length") < capacity).select(F.col("pid").alias("id"), F.col("length").alias("size"))
     full = placed.filter(F.col("length") >= capacity)
@@ -126,7 +126,7 @@ def pack(cut: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
         merged = before - moves.filter("offset = 0").count()
         done, round_ = groups == 1 or merged < WORTH * before, round_ + 1
     rest = rest.withColumnRenamed("bin", "sequence_id").select(*full.drop("pid").columns)
-    return full.drop("pid").unionByName(rest).withColumnRenamed("id", id_col)
+    return full.drop("pid").unionByName(rest).withColumnRenamed("doc", id_col)
 
 
 def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
