@@ -43,11 +43,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: task starts a new numbering.
 CHUNK_CHARS = 2_000_000
 MAX_WORDS = 2_000_000
-#: Bytes of input a task takes: words are told apart within a task, so tasks of
-#: Spark's usual 128 MB fold each word less often than small ones.
-TASK_BYTES = 128 << 20
+#: Bytes of input a task takes at least: words are told apart within a task, so
+#: a larger one folds each word less often, and holds more words.
+TASK_BYTES = 32 << 20
 
-_BUCKETS = 1 << 17
+_BUCKETS = 1 << 16
 #: Marks "no merge" and both ends of a word; larger than every id character.
 _NONE = chr(0xD7FF)
 
@@ -77,9 +77,9 @@ def check_ranks(ranks: dict[bytes, int]) -> None:
         raise ValueError("the rank file lacks single bytes")
 
 
-def merge_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Two adjacent token characters -> the character of their merge (its code is
-    its rank) or ``_NONE``.  The literal map is cut into buckets by CRC, so that
+def merge_table(ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: two adjacent token characters -> the character of
+    their merge, whose code is its rank.  It is cut into buckets by CRC, so that
     a lookup compares one or two keys; Spark searches a map from its start."""
     buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
     for token, rank in ranks.items():
@@ -88,13 +88,13 @@ def merge_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
             if left is not None and right is not None:
                 pair = _char(left) + _char(right)
                 buckets[zlib.crc32(pair.encode()) % _BUCKETS][pair] = _char(rank)
-    literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
+    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
 
-    def lookup(pair: Column) -> Column:
-        bucket = F.get(literal, F.pmod(F.crc32(pair.cast("binary")), F.lit(_BUCKETS)).cast("int"))
-        return F.coalesce(F.element_at(bucket, pair), F.lit(_NONE))
 
-    return lookup
+def _lookup(table: Column, pair: Column) -> Column:
+    """The merge of a pair of token characters, or ``_NONE``."""
+    bucket = F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(_BUCKETS)).cast("int"))
+    return F.coalesce(F.element_at(bucket, pair), F.lit(_NONE))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -108,9 +108,15 @@ def encode_word(word: Column, ranks: dict[bytes, int]) -> Column:
     The state of the fold holds the pieces (with ``_NONE`` at both ends) and the
     merge of every adjacent pair; each step merges the leftmost pair of the
     smallest rank and looks up the two pairs that this creates."""
-    lookup = merge_lookup(ranks)
+    return _let(merge_table(ranks), lambda table: _folded(word, table))
+
+
+def _folded(word: Column, table: Column) -> Column:
     one, two = F.lit(1), F.lit(2)
 
+    def lookup(pair: Column) -> Column:
+        return _lookup(table, pair)
+
     def step(s: Column, _: Column) -> Column:
         def at(low: Column, j: Column) -> Column:
             def grown(pieces: Column) -> Column:
@@ -208,9 +214,12 @@ def _number_words(pattern: str, byte_chars: dict[int, str], vocabulary: dict[str
 
 def _token_ids(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Stage 3: word numbers to token ids."""
-    def tokens(word: str) -> bytes:
-        units = np.frombuffer(word.strip(_NONE).encode("utf-16-le"), "<u2")
-        return (units.astype("<i4") - 1).tobytes()
+    def tokens(words: list[str]) -> Iterator[bytes]:
+        """Ids of words that each stand between two ``_NONE``."""
+        units = np.frombuffer("".join(words).encode("utf-16-le"), "<u2")
+        ends = 4 * np.flatnonzero(units == ord(_NONE))
+        ids = (units.astype("<i4") - 1).tobytes()
+        return (ids[a + 4:b] for a, b in zip(ends[::2].tolist(), ends[1::2].tolist()))
 
     table: list[bytes] = []
     for batch in batches:
@@ -218,8 +227,8 @@ def _token_ids(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Itera
             fresh, ids, docs, known, new = (batch.column(i)[row] for i in range(5))
             if fresh.as_py():
                 table = []
-            coded = iter(new.as_py())
-            table += [tokens(next(coded) if k is None else k) for k in known.as_py()]
+            coded = tokens(new.as_py())
+            table += [next(coded) if k is None else np.int32(ord(k) - 1).tobytes() for k in known.as_py()]
             parts = [b"".join(map(table.__getitem__, d.values.tolist())) for d in docs]
             offsets = np.cumsum([0] + [len(p) // 4 for p in parts])
             yield pa.record_batch({
@@ -269,5 +278,6 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id")
     ids joined by commas and of the decoded bytes."""
     return encoded.select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(_let(F.col("ids").cast("string"), lambda s: F.replace(
+            F.substring(s, F.lit(2), F.length(s) - 2), F.lit(", "), F.lit(","))), 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
