@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import best_fit, byte_bpe, exact_dedup, line_dedup, pii, toxicity, vantage
+from factloom.llm import best_fit, byte_bpe, exact_dedup, line_dedup, ngram_jaccard, pii, toxicity, vantage
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -85,3 +85,9 @@ def op8_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every row whose id is divisible by 20, exact search."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return vantage.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, relax=1.0)
+
+
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles reach Jaccard 0.85."""
+    return ngram_jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"), 4, 85)

@@ -80,10 +80,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             if end - begin >= width:
                 yield np.unique(rolled[begin:end - width + 1])
             elif end > begin:
-                whole = np.uint64(end - begin)
-                for n in numbers[begin:end]:
-                    whole = _mix(np.array([whole * np.uint64(5) + n]))[0]
-                yield np.array([whole])
+                whole = np.array([end - begin], np.uint64)
+                for i in range(begin, end):
+                    whole = _mix(whole * np.uint64(5) + numbers[i:i + 1])
+                yield whole
             else:
                 yield np.empty(0, np.uint64)
             begin = end
