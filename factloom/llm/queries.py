@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import best_fit, byte_bpe, exact_dedup, line_dedup, ngram_jaccard, pii, toxicity, vantage
+from factloom.llm import (best_fit, byte_bpe, exact_dedup, license_scan, line_dedup, ngram_jaccard, pii, quality,
+                          toxicity, vantage)
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -91,3 +92,16 @@ def op8_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles reach Jaccard 0.85."""
     return ngram_jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"), 4, 85)
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in every document, with matched coverage and span."""
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, shrunk toward its host and path."""
+    return quality.score(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
+                         table(spark, sf_dir, "labels", "doc_id", "quality"))
