@@ -97,3 +97,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return identified.join(groups, ["n", "name"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    groups = staged(exact_groups(docs, id_col, text_col), "groups")
+    kept = groups.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = F.sha2(normalised(F.col(text_col)), 256)
+    signed = docs.withColumn("__own", own)
+    rows = signed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    repeats = groups.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():  # rows that repeat both id and text
+        rows = rows.dropDuplicates([id_col, "__own"])
+    return rows.drop("__own")

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled documents of each class that training reads at most.
 SAMPLE = 1000
@@ -313,25 +313,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t or "" for t in rows["text"].to_pylist()], [t == 1 for t in rows["toxic"].to_pylist()])
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` that are not the text, and ``score``."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
+          score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """The id column (with ``keep_text`` all columns) of every row, and its score."""
+    src = docs if keep_text else docs.select(id_col, text_col)
     if model is None:
-        return docs.drop(text_col).withColumn("score", F.lit(0.0))
-    src = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    others = [f for f in src.schema if f.name != text_col]
+        return src.withColumn(score_col, F.lit(0.0)).drop(*[] if keep_text else [text_col])
+    fields = [f for f in src.schema if keep_text or f.name != text_col]
+    at = src.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_scores, known = model.word_scores(), {}
         for batch in batches:
-            docs_ = [sentences(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
+            docs_ = [sentences(t.as_py() or "") for t in batch.column(at)]
             if len(known) > MAX_WORDS:
                 known.clear()
             new = list({w for d in docs_ for s in d for w in s if w not in known})
             known.update(zip(new, word_scores(new).tolist()))
-            best = np.array([two_highest([sum(map(known.__getitem__, s)) for s in d], model.bias) for d in docs_])
-            yield pa.record_batch([batch.column(batch.schema.get_field_index(f.name)).cast(to_arrow_type(f.dataType))
-                                   for f in others] + [pa.array(model.probability(best.reshape(-1, 2)), pa.float64())],
-                                  names=[f.name for f in others] + ["score"])
+            highest = np.array([two_highest([sum(map(known.__getitem__, s)) for s in d], model.bias) for d in docs_])
+            scores = pa.array(model.probability(highest.reshape(-1, 2)), pa.float64())
+            yield pa.record_batch([c for i, c in enumerate(batch.columns) if keep_text or i != at] + [scores],
+                                  names=[f.name for f in fields] + [score_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return src.mapInArrow(run, f"{kinds}, score double")
+    return src.mapInArrow(run, StructType([*fields, StructField(score_col, DoubleType())]))
