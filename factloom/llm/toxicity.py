@@ -3,7 +3,8 @@
 Method: two words are compared by the gap-weighted subsequence kernel of order
 three (Lodhi et al. 2002): every common triple of characters, in order but not
 necessarily adjacent, counts once, ``DECAY`` to the power of the stretch it spans, so
-characters put between those of an insult only weaken the match.  The kernel is taken as a
+letters put between those of an insult only weaken the match; other signs between
+letters are passed over, and digits stand for the letters they look like.  The kernel is taken as a
 share of the landmark's kernel with itself and raised to ``POWER`` (a power of a
 kernel is a kernel); sentences are compared by the sum over their distinct words.  A
 linear squared-hinge SVM is trained on Nystroem features, the kernel values to
@@ -89,7 +90,7 @@ def sentences(text: str) -> list[list[str]]:
 
 @cache
 def _code(c: str) -> int:
-    """Letters a-z 1 to 26, other letters 27 to 31 by code; the rest 0, a gap."""
+    """Letters a-z 1 to 26, other letters 27 to 31 by code; the rest 0."""
     c = _STAND_INS.get(c, c)
     if "a" <= c <= "z":
         return ord(c) - 96
@@ -106,20 +107,21 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and character codes of words of equal length."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    """Row numbers and character codes of words of equal length, without the
+    signs put between their letters."""
+    coded = [[k for k in map(_code, w) if k] for w in words]
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
         for block in np.array_split(rows, -(-len(rows) // 8192)):
-            yield block, np.array([[_code(c) for c in words[r]] for r in block], np.int32)
+            yield block, np.array([coded[r] for r in block], np.int32)
 
 
 def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (words x triples) of a block, and their weights (0 where a
-    triple holds a gap character)."""
+    """Feature numbers (words x triples) of a block, and the triples' weights."""
     at, weights = _triples(codes.shape[1])
     a, b, c = (codes[:, at[:, i]] for i in range(3))
-    return (a * _LETTERS + b) * _LETTERS + c, weights * ((a > 0) & (b > 0) & (c > 0))
+    return (a * _LETTERS + b) * _LETTERS + c, weights
 
 
 def kernel_to(words: list[str], landmark_map: np.ndarray) -> np.ndarray:
@@ -130,13 +132,13 @@ def kernel_to(words: list[str], landmark_map: np.ndarray) -> np.ndarray:
         features, weights = _features(codes)
         dots = np.zeros((len(rows), landmark_map.shape[1]), np.float32)
         for t in range(features.shape[1]):
-            dots += weights[:, t, None] * landmark_map[features[:, t]]
+            dots += weights[t] * landmark_map[features[:, t]]
         # Triples that a word repeats count once, at their tightest stretch: only
         # words that may reach the floor are worth telling repeats apart.
         for i in np.flatnonzero((dots >= FLOOR).any(1)):
             distinct, inverse = np.unique(features[i], return_inverse=True)
             tightest = np.zeros(len(distinct), np.float32)
-            np.maximum.at(tightest, inverse, weights[i])
+            np.maximum.at(tightest, inverse, weights)
             share = np.minimum(tightest @ landmark_map[distinct], 1)
             out[rows[i]] = np.where(share >= FLOOR, share, 0) ** POWER
     return out
@@ -148,7 +150,7 @@ def landmark_matrix(landmarks: list[str]) -> np.ndarray:
     for rows, codes in _by_length(landmarks):
         features, weights = _features(codes)
         for i, row in enumerate(rows):
-            np.maximum.at(out[:, row], features[i], weights[i])
+            np.maximum.at(out[:, row], features[i], weights)
     return out / np.maximum((out ** 2).sum(0), 1e-9)
 
 
@@ -194,11 +196,12 @@ def two_highest(values: list[float], bias: float) -> list[float]:
 
 def _distinct_documents(texts: list[str]) -> list[int]:
     """Numbers of the texts without near copies of earlier ones: half of the 16
-    smallest word hashes in common."""
+    smallest hashes of three words in common."""
     seen: dict[int, list[int]] = {}
     keep = []
     for i, text in enumerate(texts):
-        sketch = sorted({zlib.crc32(w.encode()) for w in set(text.lower().split())})[:16]
+        words = text.lower().split()
+        sketch = sorted({zlib.crc32(" ".join(words[a:a + 3]).encode()) for a in range(len(words))})[:16]
         shared = Counter(j for h in sketch for j in seen.get(h, ()))
         if not shared or max(shared.values()) < max(1, len(sketch) // 2):
             keep.append(i)
