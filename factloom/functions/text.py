@@ -85,12 +85,9 @@ def simplify_label(label: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
-SENT_MARK = "\u0001"
-
-
 def sentences(paragraph: Column) -> Column:
     """Split after '.' followed by whitespace (the dot stays)."""
-    return F.split(F.regexp_replace(paragraph, r"\.\s+", "." + SENT_MARK), SENT_MARK)
+    return F.split(paragraph, r"(?<=\.)\s+")
 
 
 def paragraphs(text: Column) -> Column:
@@ -113,23 +110,29 @@ def regex_token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, L(TOKEN_RE), 0))
 
 
-def truncate_to_budget(df, text_col: str, budget: int, overhead: int = 0, out: str = "truncated"):
+def truncate_to_budget(df, text_col: str, budget: int, overhead: Column | int = 0, out: str = "truncated",
+                       count_tokens=regex_token_count):
     """T3 as a DataFrame step: text unchanged when it fits; else the longest
     prefix of its '.'-parts (empty parts dropped, re-joined with '.') whose
-    token count plus overhead fits.  Tokens are additive over parts (+1 per
-    joining dot), so one prefix-sum pass decides the cut.  Parts and token
-    counts are staged columns (no per-element re-evaluation)."""
+    token count plus overhead fits, and never all of its parts.  Tokens are
+    additive over parts (+1 per joining dot), so one pass over the parts, which
+    counts those that fit, decides the cut.  ``overhead`` may depend on the row
+    and ``count_tokens`` is the tokenizer (X1)."""
     text = F.col(text_col)
+    overhead = overhead if isinstance(overhead, Column) else L(overhead)
     df = df.withColumns({"_parts": F.filter(F.split(text, r"\."), lambda p: p != ""),
-                         "_ntok": regex_token_count(text)})
-    df = df.withColumn("_toks", F.transform("_parts", regex_token_count))
-    acc0 = F.struct(F.array().cast("array<int>").alias("a"), L(0).alias("s"))
-    cum = F.aggregate("_toks", acc0, lambda acc, t: F.struct(
-        F.concat(acc["a"], F.array(acc["s"] + t)).alias("a"), (acc["s"] + t).alias("s")))["a"]
-    df = df.withColumn("_keep", F.size(F.filter(cum, lambda c, i: c + i + overhead <= budget)))
+                         "_ntok": count_tokens(text), "_over": overhead})
+    df = df.withColumn("_toks", F.transform("_parts", count_tokens))
+    # used: tokens so far with the dots between parts; keep: parts that fit.
+    fits = F.aggregate(
+        "_toks", F.struct(L(-1).alias("used"), L(0).alias("keep")),
+        lambda acc, t: F.struct((acc["used"] + t + 1).alias("used"),
+                                (acc["keep"] + F.when(acc["used"] + t + 1 + F.col("_over") <= budget, 1).otherwise(0))
+                                .alias("keep")))["keep"]
+    df = df.withColumn("_keep", F.greatest(F.least(fits, F.size("_parts") - 1), L(0)))
     cut = F.array_join(F.slice("_parts", 1, F.col("_keep")), ".")
-    return df.withColumn(out, F.when(F.col("_ntok") + overhead <= budget, text).otherwise(cut)) \
-        .drop("_parts", "_ntok", "_toks", "_keep")
+    return df.withColumn(out, F.when(F.col("_ntok") + F.col("_over") <= budget, text).otherwise(cut)) \
+        .drop("_parts", "_ntok", "_toks", "_keep", "_over")
 
 
 def token_ids(text: Column) -> Column:

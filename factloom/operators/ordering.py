@@ -48,6 +48,11 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "i
     counts = ranged.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*key_cols).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (local.join(offsets, grp, "inner")
+    # Null keys are a group like any other, so the join back is null-safe.
+    named = offsets.select(*[F.col(g).alias(f"_o{i}") for i, g in enumerate(grp)], "_off")
+    same = F.lit(True)
+    for i, g in enumerate(grp):
+        same = same & F.col(g).eqNullSafe(F.col(f"_o{i}"))
+    return (local.join(named, same, "inner")
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_piece", "_local", "_off"))
+            .drop("_piece", "_local", "_off", *[f"_o{i}" for i in range(len(grp))]))

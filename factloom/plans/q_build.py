@@ -18,12 +18,12 @@ from factloom.operators.ordering import row_index
 from factloom.operators.validation import conforming_entities, infer_years, inferred_years, shape_report
 from factloom.plans.catalog import query
 from factloom.plans.oracle import with_facts
+from factloom.session import cut_lineage
 from factloom.sources.derived import SHAPE, entity_facts, entity_rows, long_triples, shape_df
 
 SEED = "42"
 SAMPLE_N = 10000
 SPLIT = (0.6, 0.8)
-CAPS = {"train": 5000, "validation": 300, "test": 300}
 K = 5
 
 
@@ -203,11 +203,13 @@ def g7_a13_funnel(spark, sf_dir):
     return one(a).join(one(g), "_k").join(one(c), "_k").drop("_k")
 
 
-def sample_and_split(spark, sf_dir) -> DataFrame:
-    """O1 seeded top-N of conforming entities, O2 exact 60/20/20 split."""
+def sample_and_split(spark, sf_dir, sample: int | None = None) -> DataFrame:
+    """O2 exact 60/20/20 split of the conforming entities in seeded order; with
+    ``sample`` of the first so many of them (O1)."""
     conf = conformance(spark, sf_dir).where("conforms").select("ex_id")
     h = F.md5(F.concat(F.lit(SEED), F.lit("Customer_"), F.col("ex_id").cast("string")))
-    top = conf.withColumn("h", h).orderBy("h").limit(SAMPLE_N)
+    top = conf.withColumn("h", h)
+    top = cut_lineage(top if sample is None else top.orderBy("h").limit(sample))
     ranked = row_index(top, [], ["h"], out="rank")
     n = top.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
     r = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").drop("_k")
@@ -216,16 +218,24 @@ def sample_and_split(spark, sf_dir) -> DataFrame:
     return r.select("ex_id", split.alias("split"), "rank")
 
 
+_TOP = f"SELECT ex_id, md5('{SEED}' || 'Customer_' || CAST(ex_id AS VARCHAR)) AS h FROM conf WHERE conforms"
 SPLIT_CTES = REPORT_CTES + f""",
-top AS (SELECT ex_id, md5('{SEED}' || 'Customer_' || CAST(ex_id AS VARCHAR)) AS h FROM conf WHERE conforms
-        ORDER BY h LIMIT {SAMPLE_N}),
+top AS ({_TOP}),
 rk AS (SELECT ex_id, row_number() OVER (ORDER BY h) - 1 AS rank, count(*) OVER () AS n FROM top),
 sp AS (SELECT ex_id, CASE WHEN rank < floor({SPLIT[0]} * n) THEN 'train' WHEN rank < floor({SPLIT[1]} * n)
                      THEN 'validation' ELSE 'test' END AS split, rank FROM rk)"""
 
 
-@query("o1_o2_sample_split", with_facts("SELECT ex_id, split, rank FROM sp", SPLIT_CTES))
+@query("o1_o2_sample_split", with_facts(
+    "SELECT ex_id, split, rank FROM sp", SPLIT_CTES.replace(_TOP, f"{_TOP} ORDER BY h LIMIT {SAMPLE_N}")))
 def o1_o2_sample_split(spark, sf_dir):
+    """O1: a seeded sample (the limit is the feature), split."""
+    return sample_and_split(spark, sf_dir, SAMPLE_N)
+
+
+@query("o2_split", with_facts("SELECT ex_id, split, rank FROM sp", SPLIT_CTES))
+def o2_split(spark, sf_dir):
+    """O2: every conforming entity, split."""
     return sample_and_split(spark, sf_dir)
 
 
@@ -240,12 +250,11 @@ def o3_test_sample(spark, sf_dir):
     "SELECT ex_id, split FROM (SELECT ex_id, split, row_number() OVER (PARTITION BY split ORDER BY rank) - 1 AS r "
     "FROM sp) WHERE (split = 'train' AND r < 5000) OR (split = 'validation' AND r < 300) "
     "OR (split = 'test' AND r < 300)", SPLIT_CTES))
-def o4_split_caps(spark, sf_dir):
-    """First-N caps per split (5000/300/300), rank order within the split."""
+def o4_split_caps(spark, sf_dir, caps=(("train", 5000), ("validation", 300), ("test", 300))):
+    """First-N caps per split (the feature), rank order within the split."""
     s = sample_and_split(spark, sf_dir)
     r = row_index(s, ["split"], ["rank"], out="r")
-    cap = F.when(F.col("split") == "train", CAPS["train"]).when(
-        F.col("split") == "validation", CAPS["validation"]).otherwise(CAPS["test"])
+    cap = F.coalesce(*[F.when(F.col("split") == name, n) for name, n in caps])
     return r.where(F.col("r") < cap).select("ex_id", "split")
 
 
@@ -258,17 +267,22 @@ def kfold_of(i, n, k: int = K):
 
 
 @query("o5_kfold_contiguous", with_facts(
-    f"SELECT ex_id, CAST(CASE WHEN i < m * (q + 1) THEN floor(i / (q + 1)) ELSE m + floor((i - m * (q + 1)) / q) END"
-    f" AS INTEGER) AS fold FROM (SELECT ex_id, i, floor(n / {K}) AS q, n - floor(n / {K}) * {K} AS m FROM ("
-    "SELECT ex_id, row_number() OVER (ORDER BY ex_id) - 1 AS i, count(*) OVER () AS n FROM sp WHERE split = 'train'))",
+    "SELECT ex_id, CAST(f AS INTEGER) AS fold, CASE WHEN f = own THEN 'test' ELSE 'train' END AS role FROM ("
+    "SELECT ex_id, CASE WHEN i < m * (q + 1) THEN floor(i / (q + 1)) ELSE m + floor((i - m * (q + 1)) / q) END"
+    f" AS own FROM (SELECT ex_id, i, floor(n / {K}) AS q, n - floor(n / {K}) * {K} AS m FROM ("
+    "SELECT ex_id, row_number() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n FROM sp WHERE split = 'train')))"
+    f" CROSS JOIN range({K}) r(f)",
     SPLIT_CTES))
 def o5_kfold_contiguous(spark, sf_dir):
-    """k = 5 contiguous folds over the train split in dataset order."""
-    tr = sample_and_split(spark, sf_dir).where("split = 'train'").select("ex_id")
-    idx = row_index(tr, [], ["ex_id"], out="i")
+    """k = 5 contiguous folds over the train split in the split's shuffled
+    order; a row is tested in its own fold and trained on in the others.  Train
+    ranks are the first of all, so the rank is the row's place."""
+    tr = cut_lineage(sample_and_split(spark, sf_dir).where("split = 'train'").select("ex_id", "rank"))
     n = tr.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    j = idx.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
-    return j.select("ex_id", kfold_of(F.col("i"), F.col("n")).alias("fold"))
+    j = tr.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")  # one row
+    own = j.select("ex_id", kfold_of(F.col("rank"), F.col("n")).alias("own"))
+    each = own.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(K)])))
+    return each.select("ex_id", "fold", F.when(F.col("fold") == F.col("own"), "test").otherwise("train").alias("role"))
 
 
 @query("o6_stratified_kfold",

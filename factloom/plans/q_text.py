@@ -98,17 +98,18 @@ def t2_punct_spacing(spark, sf_dir):
     return d.select("doc_id", F.md5(TX.space_punct(F.col("text"))).alias("spaced_md5"))
 
 
-_BUDGET, _OVERHEAD = 512, 20
+_BUDGET, _FRAME = 512, 20  # _FRAME: tokens of the prompt around a text; its title's come on top
 _TOK = "len(regexp_extract_all({x}, '\\w+|[^\\w\\s]'))"
 _TRUNC_SQL = f"""
 WITH d AS (SELECT doc_id, text, list_filter(string_split(text, '.'), lambda p: p <> '') AS parts,
-                  {_TOK.format(x='text')} AS ntok FROM documents),
+                  {_TOK.format(x='text')} AS ntok, {_FRAME} + {_TOK.format(x='source')} AS over FROM documents),
 u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM d),
 c AS (SELECT doc_id, j, sum({_TOK.format(x='part')}) OVER (PARTITION BY doc_id ORDER BY j
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + (j - 1) AS cum FROM u),
-k AS (SELECT doc_id, count(*) FILTER (WHERE cum + {_OVERHEAD} <= {_BUDGET}) AS keep FROM c GROUP BY doc_id),
-r AS (SELECT d.doc_id, CASE WHEN d.ntok + {_OVERHEAD} <= {_BUDGET} THEN d.text
-             ELSE array_to_string(d.parts[1:coalesce(k.keep, 0)], '.') END AS out
+k AS (SELECT c.doc_id, count(*) FILTER (WHERE cum + over <= {_BUDGET}) AS keep FROM c JOIN d USING (doc_id)
+      GROUP BY c.doc_id),
+r AS (SELECT d.doc_id, CASE WHEN d.ntok + d.over <= {_BUDGET} THEN d.text
+             ELSE array_to_string(d.parts[1:greatest(least(coalesce(k.keep, 0), len(d.parts) - 1), 0)], '.') END AS out
       FROM d LEFT JOIN k ON d.doc_id = k.doc_id)
 SELECT doc_id, CAST(length(out) AS INTEGER) AS out_chars, md5(out) AS out_md5 FROM r"""
 
@@ -116,8 +117,8 @@ SELECT doc_id, CAST(length(out) AS INTEGER) AS out_chars, md5(out) AS out_md5 FR
 @query("t3_truncate_to_budget", _TRUNC_SQL)
 def t3_truncate_to_budget(spark, sf_dir):
     """T3 + X1: token-budget truncation at '.' boundaries (512 tokens)."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    r = TX.truncate_to_budget(d, "text", _BUDGET, _OVERHEAD, "out")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    r = TX.truncate_to_budget(d, "text", _BUDGET, F.lit(_FRAME) + TX.regex_token_count(F.col("source")), "out")
     return r.select("doc_id", F.length("out").alias("out_chars"), F.md5("out").alias("out_md5"))
 
 
@@ -151,6 +152,10 @@ def t4_t6_token_arrays(spark, sf_dir):
 
 
 @query("a11_mean_generated_length",
-       "WITH x AS (" + _IDS_SQL + ") SELECT round(avg(n_nonpad), 6) AS mean_len FROM x")
+       "SELECT round(avg(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), 6) AS mean_len"
+       " FROM documents")
 def a11_mean_generated_length(spark, sf_dir):
-    return _token_arrays(spark, sf_dir).agg(F.round(F.avg("n_nonpad"), 6).alias("mean_len"))
+    """Mean number of tokens that are not padding, of whole texts."""
+    ids = TX.token_ids(F.col("text"))
+    return table(spark, sf_dir, "documents", "text").agg(
+        F.round(F.avg(F.size(F.filter(ids, lambda x: x != 0))), 6).alias("mean_len"))

@@ -1,8 +1,9 @@
 """Session helpers.
 
 The cluster names its shared checkpoint folder in ``spark.checkpoint.dir``;
-we read it from the session and only fall back to a scratch folder when the
-setting is absent (local tests).
+we read it from the session.  Where it is unset, a local session (tests, bench)
+gets one from ``get_spark``; anything else is an error, since executors cannot
+share a folder of the driver's machine.
 """
 
 from __future__ import annotations
@@ -38,16 +39,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="factloom-ckpt-"))
     checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; set one only where unset."""
+    """The shared checkpoint folder that the session names."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="factloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
