@@ -158,11 +158,11 @@ def _splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class _Numbers(dict):
-    """Word -> number, given out in the order of first sight; ``new`` are those
-    of the chunk."""
+    """Word -> number, given out in the order of first sight after the words that
+    are tokens as a whole; ``new`` are those of the chunk."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known: list[str]):
+        super().__init__(zip(known, range(len(known))))
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -171,30 +171,29 @@ class _Numbers(dict):
         return n
 
 
-def _number_words(pattern: str, byte_chars: dict[int, str], vocabulary: dict[str, str], id_type: pa.DataType):
+def _number_words(pattern: str, byte_chars: dict[int, str], known: list[str], id_type: pa.DataType):
     """Stage 1: chunks of documents as word numbers, and the chunk's new words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers, fresh = _splitter(pattern), _Numbers(), True
+        split, numbers, fresh = _splitter(pattern), _Numbers(known), True
         ids: list = []
         docs: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size, fresh, numbers
-            new, offsets = numbers.new, np.cumsum([0] + [len(d) for d in docs])
+            offsets = np.cumsum([0] + [len(d) for d in docs])
             words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(
                 np.concatenate(docs) if docs else np.empty(0, np.int32), pa.int32()))
-            known = [vocabulary.get(w) for w in new]
-            coded = [w.encode().decode("latin-1").translate(byte_chars) for w, k in zip(new, known) if k is None]
+            coded = [w.encode().decode("latin-1").translate(byte_chars) for w in numbers.new]
             out = pa.record_batch({
                 "fresh": pa.array([fresh]), "ids": pa.array([ids], pa.list_(id_type)),
                 "docs": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), words),
-                "known": pa.array([known], pa.list_(pa.string())), "new": pa.array([coded], pa.list_(pa.string()))})
+                "new": pa.array([coded], pa.list_(pa.string()))})
             ids.clear()
             docs.clear()
             numbers.new, size, fresh = [], 0, False
             if len(numbers) > MAX_WORDS:
-                numbers, fresh = _Numbers(), True
+                numbers, fresh = _Numbers(known), True
             return out
 
         for batch in batches:
@@ -212,7 +211,7 @@ def _number_words(pattern: str, byte_chars: dict[int, str], vocabulary: dict[str
     return run
 
 
-def _token_ids(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _token_ids(batches: Iterator[pa.RecordBatch], known: list[int], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Stage 3: word numbers to token ids."""
     def tokens(words: list[str]) -> Iterator[bytes]:
         """Ids of words that each stand between two ``_NONE``."""
@@ -221,15 +220,16 @@ def _token_ids(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Itera
         ids = (units.astype("<i4") - 1).tobytes()
         return (ids[a + 4:b] for a, b in zip(ends[::2].tolist(), ends[1::2].tolist()))
 
+    whole = [np.int32(i).tobytes() for i in known]
     table: list[bytes] = []
     for batch in batches:
         for row in range(batch.num_rows):
-            fresh, ids, docs, known, new = (batch.column(i)[row] for i in range(5))
+            fresh, ids, docs, new = (batch.column(i)[row] for i in range(4))
             if fresh.as_py():
-                table = []
-            coded = tokens(new.as_py())
-            table += [next(coded) if k is None else np.int32(ord(k) - 1).tobytes() for k in known.as_py()]
-            parts = [b"".join(map(table.__getitem__, d.values.tolist())) for d in docs]
+                table = list(whole)
+            table += tokens(new.values.to_pylist())
+            numbers, bounds = docs.values.values.to_numpy(), docs.values.offsets.to_numpy()
+            parts = [b"".join(map(table.__getitem__, numbers[a:b].tolist())) for a, b in zip(bounds, bounds[1:])]
             offsets = np.cumsum([0] + [len(p) // 4 for p in parts])
             yield pa.record_batch({
                 "id": ids.values.cast(id_type),
@@ -244,22 +244,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    src = src.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    src = src.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1))
     kind = src.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(src.schema["id"].dataType)
     byte_chars = {b: _char(ranks[bytes([b])]) for b in range(256)}
     # A word that is a token as a whole is not split, as the rank files' libraries do.
-    vocabulary = {}
+    known = {}
     for token, rank in ranks.items():
         try:
-            vocabulary[token.decode()] = _char(rank)
+            known[token.decode()] = rank
         except UnicodeDecodeError:
             pass
-    chunks = src.mapInArrow(
-        _number_words(pattern, byte_chars, vocabulary, id_type),
-        f"fresh boolean, ids array<{kind}>, docs array<array<int>>, known array<string>, new array<string>")
+    words, numbers = list(known), list(known.values())
+    chunks = src.mapInArrow(_number_words(pattern, byte_chars, words, id_type),
+                            f"fresh boolean, ids array<{kind}>, docs array<array<int>>, new array<string>")
     coded = chunks.withColumn("new", F.transform("new", lambda w: encode_word(w, ranks)))
-    out = coded.mapInArrow(lambda batches: _token_ids(batches, id_type), f"id {kind}, ids array<int>")
+    out = coded.mapInArrow(lambda batches: _token_ids(batches, numbers, id_type), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
