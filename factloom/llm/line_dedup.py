@@ -52,6 +52,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         .select("id", "h.h1", "h.h2"), "lines")
     repeated = (seen.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
                 .filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
+    repeated = staged(repeated, "repeated-lines")  # a join of two plain sides, which AQE may split or broadcast
     dropped = (seen.join(repeated, ["h1", "h2"], "left_semi")
                .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
                .select(F.col("id").alias("gone_id"), "gone"))
