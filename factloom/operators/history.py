@@ -2,8 +2,8 @@
 
 All per-run statistics are aggregates (``min``/``max_by``/``count_if``) with
 map-side partial aggregation, so a run with very many logged steps does not
-have to sit in one window partition; only the early-stop scan (W8) and the
-top-k (W7, two-phase) use windows.
+have to sit in one window partition; the early-stop scan (W8) windows over
+ranges of a run, the top-k (W7) has two phases.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.vocab import SATURATION_THRESHOLD
+from factloom.session import cut_lineage
 
 L = F.lit
 METRICS = ("val_part_parsed", "val_F1_macro", "val_F1_micro")
@@ -33,29 +34,34 @@ def last_write_wins(history: DataFrame, run_keys: Sequence[str]) -> DataFrame:
             .select(*run_keys, "epoch", *[F.col("_r")[c].alias(c) for c in cols]))
 
 
-def saturation(hist: DataFrame, run_keys: Sequence[str], metric: str,
+def saturation(hist: DataFrame, run_keys: Sequence[str], metrics: Sequence[str] = METRICS,
                thr: float = SATURATION_THRESHOLD) -> DataFrame:
-    """W2–W6 for one metric: velocity (first epoch above thr), saturated
-    flag, broken steps after it, stability and divergence, per run."""
-    m = missing_to_null(F.col(metric))
-    first = (hist.groupBy(*run_keys).agg(
-        F.min(F.when(m > thr, F.col("epoch"))).alias("velocity"),
+    """W2-W6 for all metrics: velocity (first epoch above thr), saturated flag,
+    broken steps after it, stability and divergence, one row per run and metric.
+    One aggregate for all first epochs, one join, one aggregate for what follows
+    them, one ``stack``."""
+    def above(m: str) -> Column:
+        return missing_to_null(F.col(m)) > thr
+
+    first = hist.groupBy(*run_keys).agg(
         F.count(L(1)).alias("n_epochs"),
-        F.min_by(m, F.when(m > thr, F.col("epoch"))).alias("value_at_sat"),
-        F.max_by(m, F.when(m.isNotNull(), F.col("epoch"))).alias("last_value"),
-        F.max(F.when(m.isNotNull(), m > thr)).alias("saturated0")))
-    broken = (hist.join(first.select(*run_keys, "velocity"), list(run_keys))
-              .groupBy(*run_keys)
-              .agg(F.count_if((F.col("epoch") > F.col("velocity")) & (m < thr)).alias("broken")))
-    out = first.join(broken, list(run_keys), "left")
-    sat = F.col("velocity").isNotNull()
-    return out.select(
-        *run_keys, L(metric).alias("metric"), "velocity",
-        sat.alias("saturated"),
-        F.when(sat, F.coalesce(F.col("broken"), L(0))).cast("long").alias("broken_steps"),
-        F.when(sat, 1 - F.coalesce(F.col("broken"), L(0)) / F.col("n_epochs")).alias("stability"),
-        F.when(sat & (F.col("last_value") < F.col("value_at_sat")), 1).otherwise(0).alias("divergence"),
-        "n_epochs")
+        *[x for i, m in enumerate(metrics) for x in (
+            F.min(F.when(above(m), F.col("epoch"))).alias(f"_v{i}"),
+            F.min_by(F.col(m), F.when(above(m), F.col("epoch"))).alias(f"_at{i}"),
+            F.max_by(F.col(m), F.when(missing_to_null(F.col(m)).isNotNull(), F.col("epoch"))).alias(f"_last{i}"))])
+    starts = first.select(*run_keys, *[f"_v{i}" for i in range(len(metrics))])
+    broken = hist.join(starts, list(run_keys)).groupBy(*run_keys).agg(*[
+        F.count_if((F.col("epoch") > F.col(f"_v{i}")) & (missing_to_null(F.col(m)) < thr)).alias(f"_b{i}")
+        for i, m in enumerate(metrics)])
+    parts = ", ".join(f"'{m}', _v{i}, _at{i}, _last{i}, _b{i}" for i, m in enumerate(metrics))
+    rows = first.join(broken, list(run_keys), "left").select(
+        *run_keys, "n_epochs", F.expr(f"stack({len(metrics)}, {parts}) AS (metric, velocity, _at, _last, _b)"))
+    sat, n_broken = F.col("velocity").isNotNull(), F.coalesce("_b", L(0))
+    return rows.select(
+        *run_keys, "metric", "velocity", sat.alias("saturated"),
+        F.when(sat, n_broken).cast("long").alias("broken_steps"),
+        F.when(sat, 1 - n_broken / F.col("n_epochs")).alias("stability"),
+        F.when(sat & (F.col("_last") < F.col("_at")), 1).otherwise(0).alias("divergence"), "n_epochs")
 
 
 def metric_at_saturation(hist: DataFrame, run_keys: Sequence[str], trigger: str, other: str,
@@ -79,32 +85,52 @@ def top_k_epochs(hist: DataFrame, run_keys: Sequence[str], metric: str, k: int,
             .drop("_salt", "_r"))
 
 
-def early_stop_epoch(hist: DataFrame, run_keys: Sequence[str], metric: str, patience: int) -> DataFrame:
-    """First epoch reached ``patience`` epochs after the best value so far
-    (monitor min); null when training never stops early."""
-    w = Window.partitionBy(*run_keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.col(metric)
-    best = F.min(m).over(w)
-    staged = hist.withColumn("_best", best)
-    wb = Window.partitionBy(*run_keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    staged = staged.withColumn("_best_epoch", F.max(F.when(m <= F.col("_best"), F.col("epoch"))).over(wb))
-    return (staged.groupBy(*run_keys).agg(
-        F.min(F.when(F.col("epoch") - F.col("_best_epoch") >= patience, F.col("epoch"))).alias("stop_epoch")))
-
-
-def fold_modes(per_fold: DataFrame, group: Sequence[str], value: str, n_folds: Column | None = None) -> DataFrame:
-    """STRICT (mean iff all folds have a value), WISE (mean over
-    present), NAIVE (sum / n folds); sample stdev iff all folds present.
+def early_stop_epoch(hist: DataFrame, run_keys: Sequence[str], metric: str, patience: int,
+                     partitions: int | None = None) -> DataFrame:
+    """First epoch reached ``patience`` epochs after the last strict
+    improvement (monitor min; a tie improves nothing); null when training never
+    stops early.
+
+    A run holding a third of the rows is not one task: rows are dealt by ranges
+    of (run, epoch), each range keeps its own running best, and the best of all
+    earlier ranges of the run (one row per range and run) is carried in."""
+    spark = hist.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # The least (value, epoch): of equal values the earliest epoch counts.
+    value = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("v"), F.col("epoch").alias("e")))
+    ranged = cut_lineage(hist.select(*run_keys, "epoch", value.alias("_v"))
+                         .repartitionByRange(n, *run_keys, "epoch").withColumn("_piece", F.spark_partition_id()))
+    so_far = Window.partitionBy("_piece", *run_keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_best", F.min("_v").over(so_far))
+    before = Window.partitionBy(*run_keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (ranged.groupBy("_piece", *run_keys).agg(F.min("_v").alias("_low"))
+               .withColumn("_carried", F.min("_low").over(before)).drop("_low"))
+    best = F.least("_best", "_carried")["e"]  # least() passes over nulls
+    return (local.join(carried, ["_piece", *run_keys]).groupBy(*run_keys).agg(
+        F.min(F.when(F.col("epoch") - best >= patience, F.col("epoch"))).alias("stop_epoch")))
+
+
+def fold_modes(per_fold: DataFrame, group: Sequence[str], value: str, n_folds: int) -> DataFrame:
+    """STRICT (mean iff all ``n_folds`` have a value), WISE (mean over
+    present), NAIVE (sum / ``n_folds``); sample stdev iff all folds present.
     Rows are stacked by ``mode``."""
-    n = n_folds if n_folds is not None else F.count(L(1))
-    agg = per_fold.groupBy(*group).agg(F.count(value).alias("c"), n.alias("n"),
-                                       F.sum(value).alias("s"), F.stddev_samp(value).alias("sd"))
-    c, nn, s = F.col("c"), F.col("n"), F.col("s")
+    agg = per_fold.groupBy(*group).agg(F.count(value).alias("c"), F.sum(value).alias("s"),
+                                       F.stddev_samp(value).alias("sd"))
     return agg.select(*group, F.expr(
-        "stack(3, 'STRICT', CASE WHEN c = n THEN s / c END, "
+        f"stack(3, 'STRICT', CASE WHEN c = {n_folds} THEN s / c END, "
         "'WISE', CASE WHEN c > 0 THEN s / c END, "
-        "'NAIVE', CASE WHEN c > 0 THEN s / n END) AS (mode, value)"),
-        F.when(c == nn, F.col("sd")).alias("stdev"))
+        f"'NAIVE', CASE WHEN c > 0 THEN s / {n_folds} END) AS (mode, value)"),
+        F.when(F.col("c") == n_folds, F.col("sd")).alias("stdev"))
+
+
+def fold_sums(per_fold: DataFrame, group: Sequence[str], values: Sequence[str], n_folds: int) -> DataFrame:
+    """Sums of several columns by mode: STRICT needs a value in all
+    ``n_folds``, the other modes any."""
+    agg = per_fold.groupBy(*group).agg(*[F.sum(v).alias(v) for v in values],
+                                       *[F.count(v).alias(f"_n_{v}") for v in values])
+    modes = agg.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ("STRICT", "WISE", "NAIVE")])))
+    return modes.select(*group, "mode", *[F.when((F.col("mode") != "STRICT") | (F.col(f"_n_{v}") == n_folds), F.col(v))
+                                          .cast("long").alias(v) for v in values])
 
 
 def global_score(f1: Column, r_tp: Column, r_cs: Column, r_svt: Column) -> Column:

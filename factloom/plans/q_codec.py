@@ -233,5 +233,5 @@ def d13_plain_tokens(spark, sf_dir):
     """D13 on the tags text: drop markers, split on whitespace; token count
     per example equals the whitespace tokens of the fact parts."""
     enc = _encoded(spark, sf_dir, ["tags"])
-    marked = F.regexp_replace("text", r"<subj>|<rel>|<obj>|<et>", " ")
+    marked = F.concat(F.lit("<s>"), F.regexp_replace("text", r"<subj>|<rel>|<obj>|<et>", " "), F.lit("</s><pad><pad>"))
     return enc.select("ex_id", F.size(D.plain_tokens(marked)).cast("long").alias("n_tokens"))

@@ -12,7 +12,7 @@ from factloom.plans.q_build import kfold_of
 def test_fold_modes(spark):
     df = spark.createDataFrame([("m", 0, 3.0), ("m", 1, 6.0), ("m", 2, 1.0), ("m", 3, None)],
                                "model string, fold int, velocity double")
-    r = {x.mode: x.value for x in H.fold_modes(df, ["model"], "velocity").collect()}
+    r = {x.mode: x.value for x in H.fold_modes(df, ["model"], "velocity", 4).collect()}
     assert r["STRICT"] is None and r["NAIVE"] == 2.5 and abs(r["WISE"] - 10 / 3) < 1e-12
 
 
