@@ -24,4 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from factloom.plans import q_build, q_codec, q_history, q_io, q_relations, q_scoring, q_text  # noqa: F401
+    from factloom.plans import (  # noqa: F401
+        q_build, q_codec, q_corpora, q_history, q_io, q_relations, q_scoring, q_text)

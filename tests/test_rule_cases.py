@@ -60,3 +60,58 @@ def test_unset_checkpoint_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Unset)
+
+
+def test_relations_from_markers(spark):
+    from factloom.operators import markers as M
+
+    cases = {
+        "<s><triplet> a b <subj> c <obj> r s <subj> d <obj> q <triplet> e <subj> f <obj> r</s><pad>":
+            [("a b", "c", "r s"), ("a b", "d", "q"), ("e", "f", "r")],
+        "<triplet> a <subj> b <obj>": [], "": [], "a b": [],
+        "<triplet> a <subj> b <obj> r <triplet> c <subj> d": [("a", "b", "r")],
+        "<triplet> a <subj> b <obj> r <subj> c": [("a", "b", "r"), ("a", "c", "r")],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", M.extract(F.col("t")).alias("x"))
+    assert {r.t: [tuple(x) for x in r.x] for r in df.collect()} == cases
+    types = {"Peop": "<peop>", "Loc": "<loc>"}
+    typed = "<triplet> a <peop>  b <loc> r <peop> c <peop> q <triplet> d <loc>  e <loc> r"
+    row = spark.createDataFrame([(typed,)], "t string").select(M.extract_typed(F.col("t"), types).alias("x")).first()
+    assert [tuple(x) for x in row.x] == [("a", "Peop", "b", "Loc", "r"), ("a", "Peop", "c", "Peop", "q"), ("d", "Loc", "e", "Loc", "r")]
+
+
+def test_overlap_scores(spark):
+    from factloom.functions import overlap as OV
+
+    rows = [("abcd", ["abcd"], 1.0), ("abc", ["abc"], 0.0), ("abcde", ["abcdf"], 0.2 ** 0.25), ("a b c d", ["abcd"], 1.0),
+            ("abcdabcd", ["abcd", "zzzzzzzz"], (4 / 8 * 3 / 7 * 2 / 6 * 1 / 5) ** 0.25), ("wxyz", ["abcd"], 0.0)]
+    df = spark.createDataFrame(rows, "p string, r array<string>, want double")
+    for r in df.select("want", OV.char_bleu(F.col("p"), F.col("r")).alias("got")).collect():
+        assert abs(r.got - r.want) < 1e-9
+    df = spark.createDataFrame([("A b, c", "a b d"), ("", "a"), ("a a a", "a")], "p string, r string")
+    got = [(round(r.x, 6), round(r.y, 6)) for r in df.select(
+        OV.rouge_n(F.col("p"), F.col("r"), 1).alias("x"), OV.rouge_n(F.col("p"), F.col("r"), 2).alias("y")).collect()]
+    assert got == [(0.666667, 0.5), (0.0, 0.0), (0.5, 0.0)]
+
+
+def test_sentence_windows_against_brute_force(spark):
+    import re
+
+    from factloom.plans.q_corpora import w9_j9_sentence_windows
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        sentences = [m.span() for m in re.finditer(r"(?s).*?[.!?](?=\s|$)|(?s:.+)", r.text, re.ASCII)]
+        entities = [(*m.span(), m[0]) for m in re.finditer(r"[A-Z][a-z]+(?:[.]?\s[A-Z][a-z]+)+", r.text, re.ASCII)]
+        windows, group = [], []
+        for start, stop in sentences:
+            group.append((start, stop))
+            if not any(a < stop < b for a, b, _ in entities):
+                windows.append(group)
+                group = []
+        for i, g in enumerate(windows + ([group] if group else [])):
+            inside = [e for e in entities if any(a <= e[0] < b for a, b in g)]
+            want[r.doc_id, i] = (g[0][0], g[-1][1], len(g), "|".join(f"{a}:{b}:{t}" for a, b, t in inside))
+    got = {(r.doc_id, r.window): (r.start, r.stop, r.n_sentences, r.entities) for r in w9_j9_sentence_windows(spark, sf).collect()}
+    assert got == want and any(v[2] > 1 for v in want.values())
