@@ -309,7 +309,7 @@ _EXPR_CACHE: dict = {}
 def cached_expr(spark, key, build):
     """Column trees for the 17-syntax dispatch take seconds to build over
     py4j; they are immutable, so one tree per session and key is reused."""
-    k = (id(spark._jsparkSession), key)
+    k = (spark.sparkContext.applicationId, key)  # an id() could be given anew once a session is gone
     if k not in _EXPR_CACHE:
         _EXPR_CACHE[k] = build()
     return _EXPR_CACHE[k]

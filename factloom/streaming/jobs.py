@@ -30,20 +30,23 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Stateful aggregation in complete mode; each micro-batch rewrites the
-    full result as parquet (foreachBatch), read back when drained."""
+def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Stateful aggregation in update mode: a micro-batch writes the groups it
+    changed to a folder of its own (written anew if the batch is repeated), and
+    the latest row of every group is the result."""
     spark = stream.sparkSession
     base = _scratch(spark, name)
     out = os.path.join(base, "out")
 
-    def write(batch: DataFrame, _bid: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
+    q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    latest = F.max_by(F.struct(*values), F.col("batch")).alias("r")
+    return spark.read.parquet(out).groupBy(*keys).agg(latest).select(*keys, "r.*")
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
@@ -61,16 +64,19 @@ def metric(value):
 
 
 def epoch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: metrics per (event_type, day) as the rows arrive: event-time
-    windows with a watermark (late rows beyond it would be dropped)."""
-    # The watermark needs an instant type; windows stay on the zone-less
-    # wall-clock column so day boundaries do not depend on the session zone.
-    ev = events_stream(spark, sf_dir).withColumn("ts_event", F.col("ts").cast("timestamp")) \
-        .withWatermark("ts_event", "1 day")
-    agg = (ev.groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    """ST1: metrics per (event_type, day) as the rows arrive.  The watermark is on
+    the grouping column, so a day's state goes once the stream is a day past it;
+    rows later than that are dropped."""
+    # The watermark needs an instant; the one whose UTC clock shows the event's
+    # zone-less time keeps day boundaries apart from the session zone.
+    wall = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    ev = events_stream(spark, sf_dir).withColumn("ts_event", wall).withWatermark("ts_event", "1 day")
+    agg = (ev.groupBy(F.window("ts_event", "1 day").alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum(metric(F.col("value"))).alias("metric_sum")))
-    out = run_complete(agg, "st1")
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+    out = run_update(agg.select(F.col("w.start").alias("start"), "event_type", "n", "metric_sum"), "st1",
+                     ["start", "event_type"])
+    start = F.to_utc_timestamp("start", F.current_timezone())
+    return out.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                       "n", F.round("metric_sum", 6).alias("metric_sum"))
 
 
@@ -82,7 +88,7 @@ def online_saturation(spark: SparkSession, sf_dir: str, thr: float = SATURATION_
     agg = ev.groupBy(F.col("user_id").alias("run")).agg(
         F.min(F.when(m > thr, F.col("ts"))).alias("first_sat"),
         F.count_if(m > thr).alias("n_sat"), F.count(F.lit(1)).alias("n"))
-    out = run_complete(agg, "st2")
+    out = run_update(agg, "st2", ["run"])
     return out.select("run", F.date_format("first_sat", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_sat"),
                       "n_sat", "n")
 
