@@ -7,26 +7,31 @@ sizes are discarded, and the rest are counted over the whole sets.
 
 Sizes decide how much of the matrix is needed.  Two sets whose Jaccard is at
 least t share at least t * max(size) n-grams.  So, in one order of all n-grams,
-the first size - ceil(t * size) + k(size) of each hold at least the smaller k of
-the pair in common.  Only these prefixes are multiplied, pairs that accumulate
-fewer than k are discarded, and so are documents that share fewer of their prefix
-with anybody.
+the first p = size - ceil(t * size) + k(size) of each hold at least the smaller k
+of the pair in common, and only these prefixes are multiplied.  Of a pair, let x
+be the document whose prefix ends earlier in the order.  What x's prefix does not
+share with the other's prefix is not in the other set at all, so the pair has at
+most c + size(x) - p(x) in common, c being what the prefixes share.  Pairs that
+cannot reach t / (1 + t) of the sum of their sizes are discarded: before they are
+made, with all that x's prefix shares with anybody as c, and once more with the
+accumulated c.  Documents that share less of their prefix with anybody than the
+least k asks for are discarded before all that.
 
 Scale:
 
 * Equal sets are one class, known by size and a 128-bit digest; only its
   smallest document takes part.  Copies are never paired.
 * The order puts frequent n-grams last.  Frequencies are counted over the whole
-  corpus, map-side, and the at most ``FREQUENT`` most frequent n-grams (2 MB) go
-  to every task.  The order only decides the work, never the result: any order
-  gives the same links.
+  corpus, map-side; which n-grams are frequent goes to every task as a table of
+  ``BITS`` bits (8 MB, whatever the corpus).  The order only decides the work,
+  never the result: any order gives the same links.
 * A large group of near copies shares all its columns.  Before pairs are made,
-  rounds compare each document with one pivot of its columns and merge the
-  components; pairs within a component are not made.  Rounds go on while the
-  pairs left outnumber the entries of the matrix and pivots still merge.  What
-  is left is multiplied in full, so no link between components is missed.
+  rounds compare the documents of columns wider than ``WIDE`` with one pivot a
+  column, the document with the least of its own, and merge the components; pairs
+  within a component are not made.  What is left is multiplied in full, so no
+  link between components is missed.
 * Column entries, pivots, labels and sets move through joins and grouped
-  aggregates; nothing is collected but the frequent n-grams.
+  aggregates; nothing is collected but the table of bits.
 
 N-grams are 64-bit numbers (``shingles``).  Defined results: texts without words
 (also null) have size 0 and are linked with nothing; a null id is never linked,
@@ -42,21 +47,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from factloom.llm import components
 from factloom.llm.common import staged
 from factloom.llm.shingles import shingle_sets
 
-#: Most frequent n-grams known to every task, and the least count of one.
-FREQUENT, LEAST = 1 << 18, 8
+#: Bits that say which n-grams are frequent, n-grams that may set one, and the
+#: least count of a frequent one.
+BITS, FREQUENT, LEAST = 1 << 26, 1 << 23, 8
 #: N-grams counted at once within a task.
 COUNTED = 1 << 22
 #: Common prefix n-grams asked for, as a share of the size (plus one).
 COMMON_PERCENT = 5
-ROUNDS = 8
+#: Documents of a column beyond which a pivot comes before pairs, and rounds of it.
+WIDE, ROUNDS = 16, 4
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -105,14 +111,26 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _frequent(counts: DataFrame) -> np.ndarray:
-    """The n-grams counted at least 2^e times, for the least e that leaves at
-    most ``FREQUENT`` of them; sorted."""
+    """Bits set for the n-grams counted at least 2^e times, for the least e that
+    leaves at most ``FREQUENT`` of them.  An n-gram that shares another's bit
+    only takes a later place in the order."""
     totals = staged(counts.groupBy("ngram").agg(F.sum("times").alias("times")).filter(F.col("times") >= LEAST), "totals")
     by_power = {r["e"]: r["n"] for r in totals.groupBy(F.floor(F.log2("times")).alias("e")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
     e = next(e for e in range(3, 66) if sum(n for p, n in by_power.items() if p >= e) <= FREQUENT)
-    kept = totals.filter(F.col("times") >= F.lit(2.0 ** e)).select("ngram").toArrow()
-    return np.sort(kept["ngram"].to_numpy().view(np.uint64))
+    place = F.col("ngram").bitwiseAND(F.lit(BITS - 1))
+    words = (totals.filter(F.col("times") >= F.lit(2.0 ** e))
+             .select(F.shiftright(place, 6).alias("word"),
+                     F.expr("shiftleft(1L, cast(ngram & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most BITS / 64 rows
+    table = np.zeros(BITS // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _is_frequent(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    place = grams & np.uint64(BITS - 1)
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _needed(n, percent: int):
@@ -125,26 +143,27 @@ def _common(n):
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Entries (ngram, id, n) of the prefix matrix."""
+    """Entries (ngram, id, n, w) of the prefix matrix; w is the place of the
+    prefix's last n-gram in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lengths, sizes = [], [], []
+            rows, lengths, sizes, ends = [], [], [], []
             for grams in _sets(batch, width):
                 n = len(grams)
-                often = np.zeros(n, bool)
-                if len(frequent) and n:
-                    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                    often = frequent[at] == grams
+                often = _is_frequent(grams, frequent)
                 ordered = np.concatenate([grams[~often], grams[often]])
-                rows.append(ordered[:n - _needed(n, percent) + _common(n)] if n else ordered)
-                lengths.append(len(rows[-1]))
+                cut = min(n, n - _needed(n, percent) + _common(n)) if n else 0
+                rows.append(ordered[:cut])
+                lengths.append(cut)
                 sizes.append(n)
+                ends.append((int(ordered[cut - 1]) >> 2) + (int(cut > n - often.sum()) << 62) if cut else 0)
             owner = np.repeat(np.arange(batch.num_rows), lengths)
             yield pa.record_batch([_long(np.concatenate(rows) if rows else np.empty(0, np.uint64)),
                                    batch.column(0).take(pa.array(owner)),
-                                   pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["ngram", "id", "n"])
+                                   pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                                   pa.array(np.repeat(np.array(ends, np.int64), lengths))], names=["ngram", "id", "n", "w"])
 
-    return docs.filter("id is not null").mapInArrow(run, "ngram long, id long, n int")
+    return docs.filter("id is not null").mapInArrow(run, "ngram long, id long, n int, w long")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -179,40 +198,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _prefix_size(n: Column, percent: int) -> Column:
+    return F.least(n, n - F.ceil(n * percent / 100) + F.floor(n * COMMON_PERCENT / 100) + 1)
+
 
+def _reachable(shared_a: Column, shared_b: Column, percent: int) -> Column:
+    """Whether a pair can reach the Jaccard, from what the prefixes of either side
+    share: columns na, wa, nb, wb of the two documents."""
+    def most(n: str, shared: Column) -> Column:
+        return shared + F.col(n) - _prefix_size(F.col(n), percent)
 
-def _pairs_left(entries: DataFrame) -> int:
-    """Entries of the product that join two components."""
-    cells = entries.groupBy("ngram", "label").agg(F.count(F.lit(1)).alias("m"))
-    per_column = cells.groupBy("ngram").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return per_column.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+    a, b = most("na", shared_a), most("nb", shared_b)
+    common = F.when(F.col("wa") < F.col("wb"), a).when(F.col("wa") > F.col("wb"), b).otherwise(F.greatest(a, b))
+    common = F.least(common, F.col("na"), F.col("nb"))
+    return (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
 
 
-def _by_pivots(entries: DataFrame, round_: int, percent: int) -> DataFrame:
+def _side(entries: DataFrame, name: str, *more: str) -> DataFrame:
+    return entries.select("ngram", F.col("id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in ("n", "w", "s", *more)])
+
+
+def _by_pivots(entries: DataFrame, labels: DataFrame, round_: int, percent: int) -> DataFrame:
     """Pairs (a, b) of a document and the pivot it shares most columns with,
-    among pivots of other components; every column has one pivot a round."""
-    pivots = staged(entries.groupBy("ngram").agg(
-        F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(round_))).alias("p"),
-        F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(
-        "ngram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label")), "pivots")
-    met = (entries.join(pivots, "ngram").filter("label <> pivot_label")
-           .filter(_sizes_fit(F.col("n"), F.col("pivot_n"), percent))
-           .groupBy("id", "pivot", F.least("n", "pivot_n").alias("small")).agg(F.count(F.lit(1)).alias("c"))
-           .filter(2 * F.col("c") >= F.floor(F.col("small") * COMMON_PERCENT / 100) + 1))
-    return met.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b"))
-
-
-def _product(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components with enough common prefix n-grams."""
-    left = entries.select("ngram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = entries.select("ngram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    small = F.least("na", "nb")
-    return (left.join(right, "ngram").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-            .filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
-            .groupBy("a", "b", small.alias("small")).agg(F.count(F.lit(1)).alias("c"))
-            .filter(F.col("c") >= F.floor(F.col("small") * COMMON_PERCENT / 100) + 1).select("a", "b"))
+    among pivots of other components.  Each column of more than ``WIDE``
+    documents has one pivot: the document with least in its prefix that nobody
+    shares; rounds tell equal ones apart by a hash."""
+    own = _prefix_size(F.col("n"), percent) - F.col("s")
+    wide = staged(entries.groupBy("ngram").agg(
+        F.count(F.lit(1)).alias("m"), F.min_by(F.struct("id", "n", "w", "s"), F.struct(
+            own, F.xxhash64("id", F.lit(round_)))).alias("p")).filter(F.col("m") > WIDE)
+        .select("ngram", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.w").alias("wb"),
+                F.col("p.s").alias("sb")), "pivots")
+    met = (_side(entries, "a").join(wide, "ngram").filter(F.col("a") != F.col("b"))
+           .filter(_reachable(F.col("sa"), F.col("sb"), percent))
+           .groupBy("a", "b", "na", "wa", "nb", "wb").agg(F.count(F.lit(1)).alias("c"))
+           .filter(_reachable(F.col("c"), F.col("c"), percent)))
+    apart = (met.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
+             .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb"))
+    return apart.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+
+
+def _product(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the Jaccard."""
+    labelled = staged(entries.join(labels, "id"), "labelled")
+    pairs = _side(labelled, "a", "label").join(_side(labelled, "b", "label"), "ngram")
+    return (pairs.filter((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")))
+            .filter(_reachable(F.col("sa"), F.col("sb"), percent))
+            .groupBy("a", "b", "na", "wa", "nb", "wb").agg(F.count(F.lit(1)).alias("c"))
+            .filter(_reachable(F.col("c"), F.col("c"), percent)).select("a", "b"))
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,29 +260,21 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
 
     entries = staged(_shared(_prefixes(src, width, percent, frequent)), "entries")
     firsts = classes.filter("first is not null").select(F.col("first").alias("id")).distinct()
-    entries = _shared(entries.join(firsts, "id", "left_semi"))
-    entries = staged(entries.select("ngram", "id", "n"), "entries")
+    entries = staged(_shared(entries.join(firsts, "id", "left_semi").select("ngram", "id", "n", "w")), "entries")
     least = F.floor(F.ceil(F.col("n") * percent / 100) * COMMON_PERCENT / 100) + 1
-    able = staged(entries.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
-                  .select("id").distinct(), "able")
-    entries = staged(entries.join(able, "id", "left_semi").select("ngram", "id", "n"), "entries")
+    able = staged(entries.groupBy("id", "n").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") >= least)
+                  .groupBy("id").agg(F.max("s").alias("s")), "able")
+    entries = staged(entries.join(able, "id").select("ngram", "id", "n", "w", "s"), "entries")
     sets = staged(_full_sets(src.join(able, "id", "left_semi"), width), "sets")
 
     labels = able.select("id", F.col("id").alias("label"))
-    size, round_, merging = entries.count(), 0, True
-    while True:
-        labelled = staged(entries.join(labels, "id"), "labelled")
-        pairs = _pairs_left(labelled)
-        if not pairs:
-            break
-        final = pairs <= 2 * size or round_ >= ROUNDS or not merging
-        found = _product(labelled, percent) if final else _by_pivots(labelled, round_, percent)
-        links = staged(_linked(found, sets, percent), "links")
-        merging = not links.isEmpty()
-        labels = components.merge(labels, links) if merging else labels
-        if final:
+    for round_ in range(ROUNDS):
+        links = staged(_linked(_by_pivots(entries, labels, round_, percent), sets, percent), "links")
+        if links.isEmpty():
             break
-        round_ += 1
+        labels = components.merge(labels, links)
+    links = staged(_linked(_product(entries, labels, percent), sets, percent), "links")
+    labels = components.merge(labels, links)
 
     return members.join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
