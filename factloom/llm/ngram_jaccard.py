@@ -28,8 +28,12 @@ Scale:
 * A large group of near copies shares all its columns.  Before pairs are made,
   rounds compare the documents of columns wider than ``WIDE`` with one pivot a
   column, the document with the least of its own, and merge the components; pairs
-  within a component are not made.  What is left is multiplied in full, so no
-  link between components is missed.
+  within a component are not made.  What is left is multiplied, so no link
+  between components is missed.
+* A linked pair shares at least c of x's entries that anybody shares (s of them),
+  so among any s - c + 1 of those is one that it shares.  In wide columns x meets
+  only its first s - c + 1 + ``SPARE`` wide entries; the ones it does not meet
+  count as shared in the bound.
 * Column entries, pivots, labels and sets move through joins and grouped
   aggregates; nothing is collected but the table of bits.
 
@@ -63,6 +67,8 @@ COUNTED = 1 << 22
 COMMON_PERCENT = 5
 #: Documents of a column beyond which a pivot comes before pairs, and rounds of it.
 WIDE, ROUNDS = 16, 4
+#: Wide entries met beyond the number that cannot miss a linked pair.
+SPARE = 2
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -117,7 +123,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
     totals = staged(counts.groupBy("ngram").agg(F.sum("times").alias("times")).filter(F.col("times") >= LEAST), "totals")
     by_power = {r["e"]: r["n"] for r in totals.groupBy(F.floor(F.log2("times")).alias("e")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
-    e = next(e for e in range(3, 66) if sum(n for p, n in by_power.items() if p >= e) <= FREQUENT)
+    e = next(e for e in range(66) if sum(n for p, n in by_power.items() if p >= e) <= FREQUENT)
     place = F.col("ngram").bitwiseAND(F.lit(BITS - 1))
     words = (totals.filter(F.col("times") >= F.lit(2.0 ** e))
              .select(F.shiftright(place, 6).alias("word"),
@@ -202,18 +208,31 @@ def _prefix_size(n: Column, percent: int) -> Column:
     return F.least(n, n - F.ceil(n * percent / 100) + F.floor(n * COMMON_PERCENT / 100) + 1)
 
 
+def _by_shorter(a: Column, b: Column, equal: Column) -> Column:
+    """``a`` or ``b`` by whose prefix ends earlier: columns wa and wb."""
+    return F.when(F.col("wa") < F.col("wb"), a).when(F.col("wa") > F.col("wb"), b).otherwise(equal)
+
+
+def _beyond(n: str, percent: int) -> Column:
+    """Most that a set shares beyond its prefix."""
+    return F.col(n) - _prefix_size(F.col(n), percent)
+
+
 def _reachable(shared_a: Column, shared_b: Column, percent: int) -> Column:
     """Whether a pair can reach the Jaccard, from what the prefixes of either side
     share: columns na, wa, nb, wb of the two documents."""
-    def most(n: str, shared: Column) -> Column:
-        return shared + F.col(n) - _prefix_size(F.col(n), percent)
-
-    a, b = most("na", shared_a), most("nb", shared_b)
-    common = F.when(F.col("wa") < F.col("wb"), a).when(F.col("wa") > F.col("wb"), b).otherwise(F.greatest(a, b))
-    common = F.least(common, F.col("na"), F.col("nb"))
+    a, b = shared_a + _beyond("na", percent), shared_b + _beyond("nb", percent)
+    common = F.least(_by_shorter(a, b, F.greatest(a, b)), F.col("na"), F.col("nb"))
     return (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
 
 
+def _met(side: str, percent: int) -> Column:
+    """How many of a side's wide entries have to meet the other's: columns na, nb
+    and the side's s."""
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - _beyond(f"n{side}", percent)
+    return F.greatest(F.col(f"s{side}") - least + 1 + SPARE, F.lit(0))
+
+
 def _side(entries: DataFrame, name: str, *more: str) -> DataFrame:
     return entries.select("ngram", F.col("id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in ("n", "w", "s", *more)])
 
@@ -238,14 +257,33 @@ def _by_pivots(entries: DataFrame, labels: DataFrame, round_: int, percent: int)
     return apart.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Entries with ``i``, the number of the entry among its document's wide ones
+    (0 if its column is not wide), and ``t``, how many those are."""
+    wide = staged(entries.groupBy("ngram").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > WIDE)
+                  .select("ngram", F.lit(1).alias("wide")), "wide")
+    own = Window.partitionBy("id")
+    return (entries.join(wide, "ngram", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
+            .withColumn("t", F.sum("wide").over(own))
+            .withColumn("i", F.col("wide") * F.sum("wide").over(
+                own.orderBy("ngram").rowsBetween(Window.unboundedPreceding, 0))).drop("wide"))
+
+
 def _product(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may reach the Jaccard."""
-    labelled = staged(entries.join(labels, "id"), "labelled")
-    pairs = _side(labelled, "a", "label").join(_side(labelled, "b", "label"), "ngram")
+    labelled = staged(_numbered(entries).join(labels, "id"), "labelled")
+    pairs = _side(labelled, "a", "label", "i", "t").join(_side(labelled, "b", "label", "i", "t"), "ngram")
+    meets_a, meets_b = F.col("ia") <= _met("a", percent), F.col("ib") <= _met("b", percent)
+
+    def unmet(side: str) -> Column:
+        return F.greatest(F.col(f"t{side}") - _met(side, percent), F.lit(0))
+
+    keys = [f"{c}{side}" for side in "ab" for c in ("", "n", "w", "s", "t")]
     return (pairs.filter((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")))
+            .filter(_by_shorter(meets_a, meets_b, meets_a | meets_b))
             .filter(_reachable(F.col("sa"), F.col("sb"), percent))
-            .groupBy("a", "b", "na", "wa", "nb", "wb").agg(F.count(F.lit(1)).alias("c"))
-            .filter(_reachable(F.col("c"), F.col("c"), percent)).select("a", "b"))
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+            .filter(_reachable(F.col("c") + unmet("a"), F.col("c") + unmet("b"), percent)).select("a", "b"))
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,9 +42,12 @@ def test_shingles_equal_sets_of_words():
             assert len(a & b) == len(x & y) and len(a) == len(x)
 
 
-@pytest.mark.parametrize("rounds", [0, 8])
-def test_jaccard_join_against_all_pairs(docs_of, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, wide", [(0, 16), (4, 4), (0, 1)])
+def test_jaccard_join_against_all_pairs(docs_of, monkeypatch, rounds, wide):
     monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_jaccard, "WIDE", wide)
+    monkeypatch.setattr(ngram_jaccard, "SPARE", 0)
+    monkeypatch.setattr(ngram_jaccard, "LEAST", 3)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)]
     common = " ".join(rng.choice(vocabulary) for _ in range(30))
