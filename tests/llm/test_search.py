@@ -148,6 +148,29 @@ def test_toxicity_learns_gapped_insults(docs_of, spark, odd_docs):
     assert toxicity.score(odd_docs, None).filter("score = 0").count() == odd_docs.count()
 
 
+def test_toxicity_finds_insults_with_inserted_letters():
+    rng = random.Random(8)
+    insults, lookalikes = ["moron", "idiot", "blockhead"], ["morning", "boron", "idiom", "tradition", "blocked", "blockade"]
+    clean = ["river", "light", "letters", "garden", "window", "answer", "station", "yellow", "paper"]
+
+    def text(toxic):
+        words = [rng.choice(clean) for _ in range(30)]
+        return " ".join(words + [rng.choice(insults)] * toxic) + "."
+
+    model = toxicity.fit([text(i % 2) for i in range(200)], [i % 2 == 1 for i in range(200)])
+
+    def found(words):
+        values = model.word_scores()(words)
+        p = model.probability(np.array([toxicity.two_highest([v], model.bias) for v in values]))
+        return [w for w, x in zip(words, p) if x >= toxicity.THRESHOLD]
+
+    assert all(m in insults or any(i.startswith(m) for i in insults) for m in model.landmarks)
+    one = [w[:i] + "x" + w[i:] for w in insults for i in range(1, len(w))]
+    two = [w[:i] + "x" + w[i:j] + "z" + w[j:] for w in insults for i in range(1, len(w)) for j in range(i, len(w))]
+    assert found(insults + one + two) == insults + one + two
+    assert found(lookalikes + clean) == []
+
+
 def test_license_scan(docs_of, odd_docs):
     texts = ["ünd x. Released under the MIT License.\nmore", "released, UNDER the mit\n license; Licensed under CC BY-SA 4.0",
              "This work is licensed under the GNU General Public License, version 2.",
