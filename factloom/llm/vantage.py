@@ -13,7 +13,9 @@ the inner product grows.  Equal vectors are one tree node that keeps its members
 with the smallest ids, enough of them for any query, so a vector that a third of
 the rows share neither unbalances the tree nor fills a leaf.
 
-Scores are recomputed in double precision on the original vectors.  Shards and
+Scores are summed in double precision on the original vectors, component by
+component.  Pruning leaves room for the rounding of distances, and vectors that tie
+are ranked by their smallest ids, so the k kept ones are those of the whole order.  Shards and
 query blocks have bounded rows; every block meets every shard, which is the work
 the search states, and nothing is collected.
 
@@ -27,7 +29,6 @@ table; others are an error of the input and take no part.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,26 +76,31 @@ class Tree:
         self.nodes[number] = ("ball", vantage, spans, self._build(rest[near]), self._build(rest[out]))
         return number
 
-    def search(self, queries: np.ndarray, k: int, relax: float) -> list[list[tuple[float, int]]]:
-        """The k nearest rows of every query (minus distance, row), unordered.
-        Queries go down the tree together, so every distance is a matrix product;
-        the side nearer to most of a node's queries is searched first."""
-        best: list[list[tuple[float, int]]] = [[] for _ in queries]
-        limit = np.full(len(queries), np.inf)
+    def search(self, queries: np.ndarray, k: int, relax: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and inner products of the k nearest of every query, best first, equal
+        products by the smaller row.  Queries go down the tree together, so distances
+        are a matrix product; what that puts within its rounding of the k-th best is
+        ranked by products summed in the order of the components, the same in every
+        shard.  The side nearer to most of a node's queries is searched first."""
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        limit, least_product = np.full(len(queries), np.inf), np.full(len(queries), -np.inf)
+        # Lifted points have one norm, so distances follow from inner products.
+        length, norm = np.sqrt((queries ** 2).sum(1)), np.sqrt((self.points ** 2).sum(1).max(initial=0))
+        rounding = self.points.shape[1] * np.finfo(float).eps
+        slack, near = 8 * np.sqrt(rounding) * (length + norm), 4 * rounding * length * norm
 
         def offer(active: np.ndarray, rows: np.ndarray) -> None:
-            d2 = ((queries[active] ** 2).sum(1)[:, None] + (self.points[rows] ** 2).sum(1)[None, :]
-                  - 2 * queries[active] @ self.points[rows].T)
-            d = np.sqrt(np.maximum(d2, 0))
-            for i, q in enumerate(active):
-                for j in np.flatnonzero(d[i] <= limit[q]):
-                    item, heap = (-d[i, j], -int(rows[j])), best[q]
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                if len(best[q]) == k:
-                    limit[q] = -best[q][0][0]
+            about = queries[active] @ self.points[rows].T
+            chosen = about >= (least_product - near)[active][:, None]
+            for i in np.flatnonzero(chosen.any(1)):
+                q, new = active[i], rows[chosen[i]]
+                products = np.cumsum(self.points[new] * queries[q], axis=1)[:, -1]
+                new, products = np.r_[best[q][0], new], np.r_[best[q][1], products]
+                order = np.lexsort((new, -products))[:k]
+                best[q] = new[order], products[order]
+                if len(order) == k:
+                    least_product[q] = products[order[-1]]
+                    limit[q] = np.sqrt(max(0, length[q] ** 2 + norm ** 2 - 2 * least_product[q])) + slack[q]
 
         def visit(number: int, active: np.ndarray) -> None:
             node = self.nodes[number]
@@ -117,7 +123,7 @@ class Tree:
 
         if len(queries) and len(self.points):
             visit(0, np.arange(len(queries)))
-        return [[(-d, -r) for d, r in heap] for heap in best]
+        return best
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.0, id_col: str = "vec_id",
@@ -156,13 +162,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1
             for vec_id, m in zip(own["id"].tolist(), member.ravel().tolist()):
                 if len(by_vector[m]) <= k:  # k others of the query's own id: enough for any query
                     by_vector[m].append(vec_id)
+            # Numbered by their smallest ids, so that ties of vectors go to the smaller id.
+            by_id = np.argsort(first)
+            distinct, by_vector = distinct[by_id], [by_vector[m] for m in by_id]
             lift = np.sqrt(np.maximum(widest ** 2 - (distinct ** 2).sum(1), 0))
             tree = Tree(np.c_[distinct, lift])
             y = np.stack(ask["v"].to_list())
             found = tree.search(np.c_[y, np.zeros(len(y))], k + 1, relax)
-            for query_id, vector, rows in zip(ask["id"].tolist(), y, found):
-                for _, row in rows:
-                    score = float(np.dot(vector, distinct[row]))
+            for query_id, (rows, scores) in zip(ask["id"].tolist(), found):
+                for row, score in zip(rows.tolist(), scores.tolist()):
                     for vec_id in by_vector[row]:
                         if vec_id != query_id:
                             out["query_id"].append(query_id)

@@ -122,6 +122,31 @@ def test_nearest_exact_against_brute_force(spark, monkeypatch):
     assert vantage.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("values", [(0, 1), (-1, 0, 1), (0, 0.1, 0.3)])
+def test_nearest_ties_of_different_vectors_go_to_the_smaller_id(spark, monkeypatch, values):
+    monkeypatch.setattr(vantage, "SHARD", 150)
+    monkeypatch.setattr(vantage, "BLOCK", 16)
+    monkeypatch.setattr(vantage, "LEAF", 8)
+    rng = np.random.default_rng(6)
+    x = rng.choice(values, size=(400, 10), p=[0.6, *[0.4 / (len(values) - 1)] * (len(values) - 1)]).astype(np.float32)
+    ids = rng.permutation(400)
+    rows = [(int(i), v.tolist(), 0, 0) for i, v in zip(ids, x)]
+    vectors = _vectors(spark, rows)
+    got = {}
+    for r in vantage.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    of = {int(i): v.astype(float).tolist() for i, v in zip(ids, x) if v.any()}
+    assert set(got) == {i for i in of if i % 20 == 0}
+    for q, found in got.items():
+        want = []
+        for i, v in of.items():
+            score = 0.0
+            for a, b in zip(of[q], v):
+                score += a * b
+            want += [(-score, i)] if i != q else []
+        assert [found[n] for n in range(1, 21)] == [(i, -s) for s, i in sorted(want)[:20]]
+
+
 def test_toxicity_learns_gapped_insults(docs_of, spark, odd_docs):
     rng = random.Random(1)
     clean = ["the river", "morning light", "letters", "garden", "window", "answer", "station", "yellow", "paper"]
