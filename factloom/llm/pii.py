@@ -6,6 +6,9 @@ their check holds (parts up to 255, Luhn, digit counts).  The method adds
 ``iban`` (mod-97 must hold) and ``ssn`` (three groups of digits, no checksum, so
 only context words lift it over ``MIN_SCORE``).
 
+An IBAN has the length of its country, so a word behind it stays outside; codes of
+countries without IBANs are none.
+
 The patterns below match what the plain forms in the comments match, written so
 that a scan is linear and needs no recursion on long runs: possessive
 repetition where the next token cannot start inside the run, and a look-behind
@@ -35,6 +38,22 @@ KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Length of an IBAN -> countries: the registry, and codes in use outside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban(length: int, countries: str) -> str:
+    """Country, check digits, groups of four and what is left, spaces between allowed."""
+    fours, left = divmod(length - 4, 4)
+    return rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}" + (
+        rf"\x20?[A-Z0-9]{{{left}}}" if left else "")
+
+
 #: kind -> pattern.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; a match begins where a
@@ -46,7 +65,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
+        _iban(n, c) for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Characters a text must hold for the kind to be looked for at all.

@@ -102,3 +102,23 @@ def test_pii_checks_and_masking(docs_of):
         "doc_id", pii.listed(spans).alias("s"), pii.masked(F.col("text"), spans).alias("m")).collect()}
     assert rows[0].s == "iban:5:27" and rows[1].s == "" and rows[2].s == "ssn:7:18" and rows[3].s == ""
     assert rows[4].m == "mail [EMAIL] or call [PHONE]!" and rows[5].m is None and rows[0].m == "IBAN [IBAN] ok"
+
+
+def test_pii_words_behind_an_iban_stay_outside(docs_of):
+    from pyspark.sql import functions as F
+
+    known = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "NO93 8601 1117 947",
+             "CZ65 0800 0000 1920 0014 5399", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874",
+             "RO49 AAAA 1B31 0075 9384 0000", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606",
+             "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "LC55 HEMM 0001 0001 0012 0012 0002 3015"]
+    known += [k.replace(" ", "") for k in known]
+    behind = ["", " BIC CAIXESBB", " EUR", " BIC", " A", " AMOUNT 1234", ", EUR", " ES91 2100 0418 4502 0005 1332"]
+    texts = [(k, b) for k in known for b in behind]
+    spans = pii.find_spans(F.col("text"))
+    got = {r.doc_id: (r.s, r.m) for r in docs_of([(i, f"to {k}{b}") for i, (k, b) in enumerate(texts)]).select(
+        "doc_id", pii.listed(F.filter(spans, lambda s: s["kind"] == "iban")).alias("s"),
+        pii.masked(F.col("text"), F.filter(spans, lambda s: s["kind"] == "iban")).alias("m")).collect()}
+    for i, (k, b) in enumerate(texts):
+        at = len(k) + 4
+        second = f",iban:{at}:{at + len(b) - 1}" if b.startswith(" ES91") else ""
+        assert got[i] == (f"iban:3:{len(k) + 3}{second}", "to [IBAN]" + (" [IBAN]" if second else b)), texts[i]
