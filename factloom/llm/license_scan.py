@@ -5,7 +5,9 @@ hash of every ``WINDOW`` successive k-grams), so any run of ``GRAM + WINDOW - 1`
 words in common has a fingerprint in the inverted index.  A document looks up
 all its k-grams; hits of a template near one diagonal are a candidate, and a
 banded alignment of the template with the words there reports the share of the
-template that is matched and the span of the match.
+template that is matched and the span of the match.  Candidates that hold successive
+parts of a template, at most its length apart, are also aligned as one, in a band
+over all their diagonals: an insertion or omission of any length up to that.
 
 The index holds the templates only (a constant of the query), so documents are
 scanned in one map stage, without a shuffle, whatever their number.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +93,10 @@ class Index:
             code = code * self.size + i
         return code
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[str, int]]:
-        """(template, place in the document where it would begin), one for hits
-        within a band of each other."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[str, int, int, int, int]]:
+        """(template, place in the document where it would begin, how far that moves,
+        first and last place that may count): hits within a band of each other, then
+        chains of them, which move."""
         if len(ids) < GRAM or not len(self.codes):
             return []
         codes = np.zeros(len(ids) - GRAM + 1, np.int64)
@@ -103,19 +107,82 @@ class Index:
             known &= part > 0
         near = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hits = np.flatnonzero(known & (self.codes[near] == codes))
-        begins = sorted({(name, int(p) - at) for p in hits for name, at in self.postings[int(codes[p])]})
-        out: list[tuple[str, int]] = []
-        for name, begin in begins:
-            if not out or out[-1][0] != name or begin - out[-1][1] > BAND:
-                out.append((name, begin))
+        begins = sorted({(name, int(p) - at, at) for p in hits for name, at in self.postings[int(codes[p])]})
+        groups: dict[str, list[list[tuple[int, int]]]] = {}
+        for name, begin, at in begins:
+            of = groups.setdefault(name, [])
+            if not of or begin - of[-1][0][0] > BAND:
+                of.append([])
+            of[-1].append((begin, at))
+        out = [(name, group[0][0], 0, 0, len(ids)) for name, of in groups.items() for group in of]
+        return out + [c for name, of in groups.items() if len(of) > 1 for c in self._chains(name, of, len(ids))]
+
+    def _chains(self, name: str, groups: list[list[tuple[int, int]]], end: int) -> list[tuple[str, int, int, int, int]]:
+        """Candidates of parts of two groups or more: each next one holds a later part
+        of the template, found at most the template's length further on.  A part is a
+        group's hits without a gap, as phrases that a template repeats hit elsewhere."""
+        length = len(self.templates[name])
+        runs: list[list[tuple[int, int]]] = []
+        for group in groups:
+            ordered = sorted(group, key=lambda h: (h[0] + h[1], h))
+            for n, hit in enumerate(ordered):
+                if n and sum(hit) - sum(ordered[n - 1]) <= BAND:
+                    runs[-1].append(hit)
+                else:
+                    runs.append([hit])
+        parts = sorted(_Part(sum(g[0]), sum(g[-1]) + GRAM, min(a for _, a in g), max(a for _, a in g) + GRAM,
+                             min(b for b, _ in g), max(b for b, _ in g), len({a for _, a in g})) for g in runs)
+        weight, back = [p.hits for p in parts], [-1] * len(parts)
+        for j, b in enumerate(parts):
+            for i in range(j - 1, -1, -1):
+                a = parts[i]
+                if b.first - a.first > 2 * length + BAND + GRAM:
+                    break
+                if (b.first - a.last <= length and _after(a.first, a.last, b.first, b.last)
+                        and _after(a.begin, a.end, b.begin, b.end) and weight[i] + b.hits > weight[j]):
+                    weight[j], back[j] = weight[i] + b.hits, i
+        out, used = [], set()
+        for j in sorted(range(len(parts)), key=lambda j: (-weight[j], j)):
+            chain = []
+            while j >= 0 and j not in used:
+                used.add(j)
+                chain.append(parts[j])
+                j = back[j]
+            low, high = min((p.low for p in chain), default=0), max((p.high for p in chain), default=0)
+            if high - low > BAND:
+                head, tail = chain[-1], chain[0]
+                out.append((name, low, high - low, max(0, head.first - head.begin - BAND),
+                            min(end, tail.last + length - tail.end + BAND)))
         return out
 
 
-def align(template: list[str], text: list[str], begin: int) -> tuple[int, int, int]:
-    """Most words in common, in order, of the template and ``text`` within
-    ``BAND`` of the diagonal from ``begin``: their number and the first and last
-    place in the text; of equal alignments the shortest stretch."""
-    width = 2 * BAND + 1
+class _Part(NamedTuple):
+    """A part of a group of hits: its places in the document and in the template, the places
+    where the template would begin, and the number of its fingerprints."""
+
+    first: int
+    last: int
+    begin: int
+    end: int
+    low: int
+    high: int
+    hits: int
+
+
+def _after(a: int, a_end: int, b: int, b_end: int) -> bool:
+    """Whether the second stretch goes on where the first ends, sharing less than
+    half of the shorter one."""
+    return a < b and a_end < b_end and 2 * (a_end - b) < min(a_end - a, b_end - b)
+
+
+def align(template: list[str], text: list[str], begin: int, moves: int = 0, low: int = 0,
+          high: int | None = None) -> tuple[int, int, int]:
+    """Most words in common, in order, of the template and ``text`` from ``low`` to
+    ``high`` within ``BAND`` of the diagonals from ``begin`` to ``moves`` further on:
+    their number and the first and last place in the text; of equal alignments the
+    shortest stretch."""
+    width = 2 * BAND + 1 + moves
+    high = len(text) if high is None else high
     # A cell is (matches, -first place, last place); -1 is before any match.
     row = [(0, 1, -1)] * width
     for i, word in enumerate(template):
@@ -123,7 +190,7 @@ def align(template: list[str], text: list[str], begin: int) -> tuple[int, int, i
         for o in range(width):
             place = begin + i + o - BAND
             options = [row[o + 1] if o + 1 < width else (0, 1, -1), new[-1] if new else (0, 1, -1)]
-            if 0 <= place < len(text) and text[place] == word:
+            if low <= place < high and text[place] == word:
                 n, first, _ = row[o]
                 options.append((n + 1, -place if n == 0 else first, place))
             new.append(max(options, key=lambda c: (c[0], c[1], -c[2])))
@@ -143,15 +210,15 @@ def matches(text: str, index: Index, min_coverage: float) -> list[tuple[str, flo
     places = [m.span() for m in _WORD.finditer(text if len(found) == len(text) else found)]
     own = words(text)
     aligned = []
-    for name, begin in candidates:
-        n, first, last = align(index.templates[name], own, begin)
+    for name, begin, moves, low, high in candidates:
+        n, first, last = align(index.templates[name], own, begin, moves, low, high)
         if n and n / len(index.templates[name]) >= min_coverage:
-            aligned.append((n, n / len(index.templates[name]), name, places[first][0], places[last][1]))
+            aligned.append((n, n / len(index.templates[name]), name, places[first][0], places[last][1], moves > 0))
     kept: list[tuple] = []
-    for a in sorted(aligned, key=lambda a: (-a[1] * a[0], a[2], a[3])):
+    for a in sorted(aligned, key=lambda a: (-a[1] * a[0], a[2], a[5], a[3])):
         if not any(a[3] < k[4] and k[3] < a[4] for k in kept):
             kept.append(a)
-    return [(name, cover, start, end) for _, cover, name, start, end in sorted(kept, key=lambda k: k[3])]
+    return [(name, cover, start, end) for _, cover, name, start, end, _ in sorted(kept, key=lambda k: k[3])]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8,

@@ -214,6 +214,28 @@ def test_license_scan(docs_of, odd_docs):
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_license_with_insertions_and_omissions_over_the_band():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name in ("mit", "isc", "apache-2.0", "gpl"):
+        words = license_scan.TEMPLATES[name].split()
+        for extra in (12, 25):
+            put = " ".join(f"header{i}" for i in range(extra))
+            for cut in range(6, len(words) - 6):
+                text = " ".join(["x y z", *words[:cut], put, *words[cut:], "u v"])
+                got = license_scan.matches(text, index, 0.8)
+                assert [(g[0], g[1]) for g in got if g[0] == name] == [(name, 1.0)], (name, cut)
+                assert text[got[0][2]:got[0][3]].split()[0] == words[0], (name, cut)
+    words = license_scan.TEMPLATES["mit"].split()
+    for cut in range(6, len(words) - 18):
+        got = license_scan.matches(" ".join(["x y z", *words[:cut], *words[cut + 12:], "u v"]), index, 0.8)
+        assert [g[0] for g in got] == ["mit"] and got[0][1] >= 0.8, cut
+    # Copies stay matches of their own, also damaged ones; parts too far apart are none.
+    damaged = " ".join(words[:20] + words[24:]) + ". " + " ".join(words[:50] + words[53:])
+    assert [g[0] for g in license_scan.matches(damaged, index, 0.8)] == ["mit", "mit"]
+    apart = " ".join([*words[:30], *["far"] * 2 * len(words), *words[30:]])
+    assert license_scan.matches(apart, index, 0.8) == []
+
+
 def test_license_alignment_is_the_longest_common_sequence():
     rng = random.Random(9)
     for _ in range(60):
