@@ -21,6 +21,7 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 GRAM, WINDOW, BAND = 3, 2, 8
 _WORD = re.compile(r"[^\W_]+")
 
-# Notices and opening texts of common licenses.
+# Notices and opening texts of common licenses; the whole texts of the
+# short ones (NAME-text) are files beside this module.  Apache and GPL are openings only.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -59,6 +61,8 @@ TEMPLATES = {
            "General Public License as published by the Free Software Foundation",
     "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission.",
 }
+for _name in ("mit", "bsd-2-clause", "bsd-3-clause", "isc"):
+    TEMPLATES[f"{_name}-text"] = pkgutil.get_data("factloom.llm", f"licenses/{_name}-text.txt").decode()
 
 
 def words(text: str) -> list[str]:
@@ -86,6 +90,14 @@ class Index:
             for at in _winnowed(ids):
                 self.postings.setdefault(self._code(ids[at:at + GRAM]), []).append((name, at))
         self.codes = np.array(sorted(self.postings), np.int64)
+        self.counts = {name: np.unique([self.number[w] for w in text], return_counts=True)
+                       for name, text in self.templates.items() if text}
+
+    def within(self, name: str, ids: np.ndarray, least: float) -> bool:
+        """Whether the words of a stretch, in any order, may match so much."""
+        number, count = self.counts[name]
+        there = np.bincount(ids, minlength=self.size)[number]
+        return int(np.minimum(there, count).sum()) / len(self.templates[name]) >= least
 
     def _code(self, gram) -> int:
         code = 0
@@ -93,10 +105,11 @@ class Index:
             code = code * self.size + i
         return code
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[str, int, int, int, int]]:
+    def candidates(self, ids: np.ndarray, least: float = 0.0) -> list[tuple[str, int, int, int, int]]:
         """(template, place in the document where it would begin, how far that moves,
         first and last place that may count): hits within a band of each other, then
-        chains of them, which move."""
+        chains of them, which move.  Stretches without the words for a coverage of
+        ``least`` are none."""
         if len(ids) < GRAM or not len(self.codes):
             return []
         codes = np.zeros(len(ids) - GRAM + 1, np.int64)
@@ -107,7 +120,9 @@ class Index:
             known &= part > 0
         near = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hits = np.flatnonzero(known & (self.codes[near] == codes))
-        begins = sorted({(name, int(p) - at, at) for p in hits for name, at in self.postings[int(codes[p])]})
+        postings = [(int(p), self.postings[int(codes[p])]) for p in hits]
+        may = {name for name in {name for _, of in postings for name, _ in of} if self.within(name, ids, least)}
+        begins = sorted({(name, p - at, at) for p, of in postings for name, at in of if name in may})
         groups: dict[str, list[list[tuple[int, int]]]] = {}
         for name, begin, at in begins:
             of = groups.setdefault(name, [])
@@ -115,7 +130,12 @@ class Index:
                 of.append([])
             of[-1].append((begin, at))
         out = [(name, group[0][0], 0, 0, len(ids)) for name, of in groups.items() for group in of]
-        return out + [c for name, of in groups.items() if len(of) > 1 for c in self._chains(name, of, len(ids))]
+        out += [c for name, of in groups.items() if len(of) > 1 for c in self._chains(name, of, len(ids))]
+
+        def stretch(name: str, begin: int, moves: int, low: int, high: int) -> np.ndarray:
+            return ids[max(low, begin - BAND):max(0, min(high, begin + moves + BAND + len(self.templates[name])))]
+
+        return [c for c in out if self.within(c[0], stretch(*c), least)]
 
     def _chains(self, name: str, groups: list[list[tuple[int, int]]], end: int) -> list[tuple[str, int, int, int, int]]:
         """Candidates of parts of two groups or more: each next one holds a later part
@@ -203,7 +223,7 @@ def matches(text: str, index: Index, min_coverage: float) -> list[tuple[str, flo
     """(license, coverage, start, end) of a text, by start."""
     number, found = index.number, text.lower()
     ids = np.array([number.get(w, 0) for w in _WORD.findall(found)], np.int64)
-    candidates = index.candidates(ids)
+    candidates = index.candidates(ids, min_coverage)
     if not candidates:
         return []
     # Lower case may change a text's length; places are those of the text itself.

@@ -236,6 +236,19 @@ def test_license_with_insertions_and_omissions_over_the_band():
     assert license_scan.matches(apart, index, 0.8) == []
 
 
+def test_license_whole_texts():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    whole = [n for n in license_scan.TEMPLATES if n.endswith("-text")]
+    assert len(whole) == 4
+    for name in whole:
+        text = license_scan.TEMPLATES[name].strip()
+        got = license_scan.matches("Some work.\n\n" + text + "\n\nx y z", index, 0.8)
+        assert [g[:2] for g in got] == [(name, 1.0)], name
+        assert license_scan.words(text) == license_scan.words(("Some work.\n\n" + text)[got[0][2]:got[0][3]]), name
+    for name in ("mit", "isc", "bsd", "apache-2.0", "gpl"):  # openings stay templates of their own
+        assert [g[:2] for g in license_scan.matches(license_scan.TEMPLATES[name], index, 0.8)] == [(name, 1.0)]
+
+
 def test_license_alignment_is_the_longest_common_sequence():
     rng = random.Random(9)
     for _ in range(60):
