@@ -39,6 +39,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies are op1's: sets of 4-word shingles at Jaccard 0.85, not the five
+    words and 0.8 of the general rule, so pairs that only reach 0.8 both stay."""
     found = ngram_jaccard.join(docs, 4, 85)
     gone = staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*_names(docs))
