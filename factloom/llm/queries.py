@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import (best_fit, byte_bpe, exact_dedup, license_scan, line_dedup, ngram_jaccard, pii, quality,
-                          toxicity, vantage)
+from factloom.llm import (best_fit, byte_bpe, exact_dedup, lexical, license_scan, line_dedup, ngram_jaccard, pii,
+                          quality, toxicity, vantage)
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -105,3 +105,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, shrunk toward its host and path."""
     return quality.score(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
                          table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, t, len(t) AS n FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents) WHERE len(t) > 0),
+i AS (SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+c AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT item_id, r,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM p JOIN d USING (r) JOIN w USING (term) JOIN i USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 20
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of the highest score for every item of ``benchmark``."""
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"),
+                          table(spark, sf_dir, "benchmark", "item_id", "text"))
