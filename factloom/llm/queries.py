@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import (best_fit, byte_bpe, exact_dedup, lexical, license_scan, line_dedup, ngram_jaccard, pii,
-                          quality, toxicity, vantage)
+from factloom.llm import (alignment, best_fit, byte_bpe, exact_dedup, lexical, license_scan, line_dedup, ngram_jaccard,
+                          pii, quality, toxicity, vantage)
 from factloom.llm.catalog import ORACLE, QUERIES, query  # noqa: F401
 from factloom.sources.tables import table
 
@@ -130,3 +130,11 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents of the highest score for every item of ``benchmark``."""
     return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"),
                           table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and a piece tokenizer linked in every document, and
+    what the whole corpus says of the linked id pairs."""
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
