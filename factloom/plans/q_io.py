@@ -30,6 +30,23 @@ def st2_online_saturation(spark, sf_dir):
     return ST.online_saturation(spark, sf_dir)
 
 
+@query("st2_run_state", """
+WITH r AS (SELECT user_id AS run, row_number() OVER w - 1 AS step,
+    CASE WHEN event_type <> 'error' THEN value / (value + 20) END AS m FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT run, min(step) FILTER (WHERE m > 0.9) AS first_sat FROM r GROUP BY run)
+SELECT run, count(*) AS n_steps, max(first_sat) AS first_sat_step,
+  round(max(m) FILTER (WHERE step = first_sat), 6) AS sat_value,
+  count(*) FILTER (WHERE step > first_sat AND m < 0.9) AS n_broken,
+  max(step) FILTER (WHERE step > first_sat AND m < 0.9) AS last_broken_step,
+  round(arg_max(m, step) FILTER (WHERE m IS NOT NULL), 6) AS last_value
+FROM r JOIN f USING (run) GROUP BY run""")
+def st2_run_state(spark, sf_dir):
+    """ST2: saturation and broken steps of every run as keyed state."""
+    r = ST.run_saturation(spark, sf_dir)
+    return r.withColumns({c: F.round(c, 6) for c in ("sat_value", "last_value")})
+
+
 @query("st3_sample_log",
        "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events "
        "WHERE ((event_id // 4) + 1) % 100 = 0")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import overlap as OV
 from factloom.operators import markers as M
+from factloom.operators.ordering import row_index
 from factloom.plans.catalog import query
 from factloom.plans.oracle import with_facts
+from factloom.session import cut_lineage
 from factloom.sources.derived import entity_facts, entity_pairs
+from factloom.sources.tables import table
 
 _TYPES = {"Entity": "<entity>", "Trader": "<trader>", "Date": "<date>", "Text": "<text>"}
 
@@ -144,13 +147,41 @@ SELECT conv_id, turn, {_f_sql(1)}, {_f_sql(2)} FROM t LEFT JOIN ({_rouge_sql(1)}
 LEFT JOIN ({_rouge_sql(2)}) k2 USING (doc_id)""")
 def a10_rouge(spark, sf_dir):
     """A10: ROUGE-1 and ROUGE-2 of every turn against the turn before it."""
-    from factloom.sources.tables import table
-
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    before = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    links = before.select("conv_id", F.posexplode("turns").alias("i", "turn"), "turns").where("i > 0").select(
-        "conv_id", "turn", F.get("turns", F.col("i") - 1).alias("prior"))
-    earlier = turns.select("conv_id", F.col("turn").alias("prior"), F.col("text").alias("ref"))
-    pairs = turns.join(links, ["conv_id", "turn"]).join(earlier, ["conv_id", "prior"]).where("text IS NOT NULL AND ref IS NOT NULL")
-    return pairs.select("conv_id", "turn", F.round(OV.rouge_n(F.col("text"), F.col("ref"), 1), 6).alias("rouge1"),
-                        F.round(OV.rouge_n(F.col("text"), F.col("ref"), 2), 6).alias("rouge2"))
+    return _turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.round(OV.rouge_n(F.col("text"), F.col("ref"), 1), 6).alias("rouge1"),
+        F.round(OV.rouge_n(F.col("text"), F.col("ref"), 2), 6).alias("rouge2"))
+
+
+def _turn_pairs(spark, sf_dir) -> DataFrame:
+    """conv_id, turn, text and ``ref``, the text of the turn before."""
+    turns = row_index(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), ["conv_id"], ["turn"])
+    turns = cut_lineage(turns)
+    earlier = turns.select("conv_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("ref"))
+    return turns.join(earlier, ["conv_id", "idx"]).where("text IS NOT NULL AND ref IS NOT NULL")
+
+
+# The longest increasing run of the places that each word of a turn has in the one before.
+_PLACES = ("flatten(list_transform(pw, lambda w: list_reverse(list_filter(range(len(rw)), lambda i: rw[i + 1] = w))))")
+_STEP = ("CASE WHEN len(t) = 0 OR t[-1] < x[1] THEN list_append(t, x[1]) ELSE list_transform(t, lambda v, i: "
+         "CASE WHEN v >= x[1] AND (i = 1 OR t[i - 1] < x[1]) THEN x[1] ELSE v END) END")
+
+
+@query("a10_rouge_l", f"""
+WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS pw, {_WORDS.format('before')} AS rw FROM u
+      WHERE before IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT conv_id, turn, len(pw) + len(rw) AS n, len(list_reduce(list_transform({_PLACES}, lambda p: [p]),
+      lambda t, x: {_STEP}, CAST([] AS BIGINT[]))) AS c FROM t)
+SELECT conv_id, turn, round(CASE WHEN c > 0 THEN 2.0 * c / n ELSE 0.0 END, 6) AS rouge_l FROM l""")
+def a10_rouge_l(spark, sf_dir):
+    """A10: ROUGE-L of every turn against the turn before it."""
+    return _turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.round(OV.rouge_l(F.col("text"), F.col("ref")), 6).alias("rouge_l"))
+
+
+@query("a10_rouge_lsum")
+def a10_rouge_lsum(spark, sf_dir):
+    """A10: ROUGE-Lsum of every turn against the turn before it (held against brute
+    force in the tests: SQL has no way back through the table)."""
+    return _turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.round(OV.rouge_lsum(F.col("text"), F.col("ref")), 6).alias("rouge_lsum"))

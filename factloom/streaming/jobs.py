@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.vocab import SATURATION_THRESHOLD
 from factloom.session import checkpoint_dir
+from factloom.streaming import run_state
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                  "value double, props string")
@@ -93,6 +94,45 @@ def online_saturation(spark: SparkSession, sf_dir: str, thr: float = SATURATION_
                       "n_sat", "n")
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_saturation(spark: SparkSession, sf_dir: str, thr: float = SATURATION_THRESHOLD, slices: int = 3) -> DataFrame:
+    """ST2 as keyed state.  The events arrive in slices of time, a seventh of them
+    ten hours late, and the query is started anew for every slice from its own
+    checkpoint, as a job that is stopped and resumed."""
+    ev = spark.read.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ev = ev.select(F.col("user_id").alias("run"), "event_id",
+                   F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
+                   F.when(F.col("event_type") != "error", metric(F.col("value"))).alias("value"))
+    arrival = F.unix_micros("ts") + F.when(F.col("event_id") % 7 == 0, 36_000_000_000).otherwise(0)
+    ev = ev.withColumn("arrival", arrival)
+    first, last = ev.agg(F.min("arrival"), F.max("arrival")).first()
+    base = _scratch(spark, "st2-state")
+    source, out = os.path.join(base, "in"), os.path.join(base, "out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        for i in range(slices if first is not None else 0):
+            low, high = (first + (last - first + 1) * j // slices for j in (i, i + 1))
+            ev.filter((F.col("arrival") >= low) & (F.col("arrival") < high)).drop("arrival").write.mode("append").parquet(source)
+            stream = spark.readStream.schema("run long, event_id long, ts timestamp, value double").parquet(source)
+            (run_state.saturation(stream, thr).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    if first is None:
+        return spark.createDataFrame([], run_state.RESULT)
+    rows = spark.read.schema(run_state.RESULT + ", batch int").parquet(out)
+    names = [c for c in rows.columns if c not in ("run", "batch")]
+    return rows.groupBy("run").agg(F.max_by(F.struct(*names), F.col("batch")).alias("r")).select("run", "r.*")
+
+
 def sample_log(spark: SparkSession, sf_dir: str, every: int = 100, batch: int = 4) -> DataFrame:
     """ST3: every N-th batch (batches of ``batch`` events by id) is logged."""
     ev = events_stream(spark, sf_dir)
