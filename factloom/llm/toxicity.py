@@ -55,12 +55,14 @@ DECAY, POWER, REACH, SPAN = 0.97, 6, 5, 9
 #: Shares of a landmark's kernel under this count as none.
 FLOOR = 0.7
 LONGEST, OVERLAP = 32, 8
-MAX_WORDS = 1_000_000
+#: Words a task remembers before it starts afresh, characters of text whose words
+#: it holds at once, and words whose triples it holds at once.
+MAX_WORDS, STRETCH_CHARS, BLOCK = 400_000, 1_000_000, 1024
 THRESHOLD = 0.3
 
 _SENTENCE = re.compile(r"[.!?;]+(?=\s)|\n")
 _EDGE = " \t\r\x0b\x0c.,;:!?\"'()[]{}<>*_-"
-_LETTERS = 32
+_LETTERS = 48
 #: Digits and signs that stand in for letters.
 _STAND_INS = dict(zip("013457@$", "oieasta" + "s"))
 
@@ -71,8 +73,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Distinct words of every sentence; a row of three or more single letters is
-    read as one word."""
+    """Distinct words of every sentence, long ones in overlapping pieces; a row of
+    three or more single letters is read as one word."""
     out = []
     for part in _SENTENCE.split(text.lower()):
         words, singles = [], []
@@ -89,17 +91,23 @@ def sentences(text: str) -> list[list[str]]:
         if len(singles) > 2:
             words.append("".join(singles))
         if words:
-            out.append(list(dict.fromkeys(words)))
+            out.append(list(dict.fromkeys(p for w in words for p in _cut(w))))
     return out
 
 
+def _cut(word: str) -> list[str]:
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[a:a + LONGEST] for a in range(0, len(word) - OVERLAP, LONGEST - OVERLAP)]
+
+
 @cache
 def _code(c: str) -> int:
-    """Letters a-z 1 to 26, other letters 27 to 31 by code; the rest 0."""
+    """Letters a-z 1 to 26, other letters 27 to 47 by code; the rest 0."""
     c = _STAND_INS.get(c, c)
     if "a" <= c <= "z":
         return ord(c) - 96
-    return 27 + ord(c) % 5 if c.isalpha() else 0
+    return 27 + ord(c) % 21 if c.isalpha() else 0
 
 
 @cache
@@ -118,14 +126,15 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        for block in np.array_split(rows, -(-len(rows) // 8192)):
+        for block in np.array_split(rows, -(-len(rows) // BLOCK)):
             yield block, np.array([coded[r] for r in block], np.int32)
 
 
 def _features(codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (words x triples) of a block, and the triples' weights."""
+    """Feature numbers (triples x words) of a block, and the triples' weights."""
     at, weights = _triples(codes.shape[1], span)
-    a, b, c = (codes[:, at[:, i]] for i in range(3))
+    by_place = np.ascontiguousarray(codes.T)
+    a, b, c = (by_place[at[:, i]] for i in range(3))
     return (a * _LETTERS + b) * _LETTERS + c, weights
 
 
@@ -138,17 +147,17 @@ def kernel_to(words: list[str], landmark_map: np.ndarray) -> np.ndarray:
         features, weights = _features(codes, SPAN)
         # No landmark's share is over the sum of the most that any has of each triple.
         within = np.zeros(len(rows), np.float32)
-        for t in range(features.shape[1]):
-            within += weights[t] * most[features[:, t]]
+        for t, numbers in enumerate(features):
+            within += weights[t] * most[numbers]
         near = np.flatnonzero(within >= FLOOR - 1e-4)
-        rows, features = rows[near], features[near]
+        rows, features = rows[near], features[:, near]
         dots = np.zeros((len(rows), landmark_map.shape[1]), np.float32)
-        for t in range(features.shape[1]):
-            dots += weights[t] * landmark_map[features[:, t]]
+        for t, numbers in enumerate(features):
+            dots += weights[t] * landmark_map[numbers]
         # Triples that a word repeats count once, at their tightest stretch: only
         # words that may reach the floor are worth telling repeats apart.
         for i in np.flatnonzero((dots >= FLOOR - 1e-4).any(1)):
-            distinct, inverse = np.unique(features[i], return_inverse=True)
+            distinct, inverse = np.unique(features[:, i], return_inverse=True)
             tightest = np.zeros(len(distinct), np.float32)
             np.maximum.at(tightest, inverse, weights)
             share = np.minimum(tightest @ landmark_map[distinct], 1)
@@ -162,7 +171,7 @@ def landmark_matrix(landmarks: list[str]) -> np.ndarray:
     for rows, codes in _by_length(landmarks):
         features, weights = _features(codes, REACH)
         for i, row in enumerate(rows):
-            np.maximum.at(out[:, row], features[i], weights)
+            np.maximum.at(out[:, row], features[:, i], weights)
     return out / np.maximum((out ** 2).sum(0), 1e-9)
 
 
@@ -185,14 +194,7 @@ class Model:
         table = landmark_matrix(self.landmarks)
 
         def score(words: list[str]) -> np.ndarray:
-            pieces, owner = [], []
-            for i, w in enumerate(words):
-                cuts = [w] if len(w) <= LONGEST else [w[a:a + LONGEST] for a in range(0, len(w) - OVERLAP, LONGEST - OVERLAP)]
-                pieces += cuts
-                owner += [i] * len(cuts)
-            out = np.full(len(words), -np.inf)
-            np.maximum.at(out, np.array(owner, np.int64), kernel_to(pieces, table) @ self.weights)
-            return out
+            return kernel_to(words, table) @ self.weights
 
         return score
 
@@ -288,14 +290,14 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
     values, vectors = np.linalg.eigh(landmark_gram(table) + 1e-6 * np.eye(len(landmarks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
 
-    words = sorted({w[:LONGEST] for d in docs for s in d for w in s})
+    words = sorted({w for d in docs for s in d for w in s})
     number = {w: i for i, w in enumerate(words)}
     per_word = kernel_to(words, table) @ whiten if words else np.zeros((0, len(landmarks)))
     rows = [(i, s) for i, d in enumerate(docs) for s in d]
-    x = np.array([per_word[[number[w[:LONGEST]] for w in s]].sum(0) if s else np.zeros(len(landmarks)) for _, s in rows])
+    x = np.array([per_word[[number[w] for w in s]].sum(0) if s else np.zeros(len(landmarks)) for _, s in rows])
     owner = np.array([i for i, _ in rows])
     telling = {w: max((odds.get(w[:n], 0.0) for n in (4, 5, 6, 7, len(w))), default=0.0) for w in words}
-    first = np.array([sum(max(0.0, telling[w[:LONGEST]] - 1) for w in s) for _, s in rows])
+    first = np.array([sum(max(0.0, telling[w] - 1) for w in s) for _, s in rows])
     clean = ~labels[owner]
     value = first
     for _ in range(4):
@@ -328,6 +330,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t or "" for t in rows["text"].to_pylist()], [t == 1 for t in rows["toxic"].to_pylist()])
 
 
+def _stretches(texts: pa.Array) -> Iterator[list[str]]:
+    """All texts in turn, about ``STRETCH_CHARS`` of them (or one text) at once."""
+    out, size = [], 0
+    for text in texts:
+        out.append(text.as_py() or "")
+        size += len(out[-1])
+        if size >= STRETCH_CHARS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
           score_col: str = "score", keep_text: bool = False) -> DataFrame:
     """The id column (with ``keep_text`` all columns) of every row, and its score."""
@@ -340,13 +355,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_scores, known = model.word_scores(), {}
         for batch in batches:
-            docs_ = [sentences(t.as_py() or "") for t in batch.column(at)]
-            if len(known) > MAX_WORDS:
-                known.clear()
-            new = list({w for d in docs_ for s in d for w in s if w not in known})
-            known.update(zip(new, word_scores(new).tolist()))
-            highest = np.array([two_highest([sum(map(known.__getitem__, s)) for s in d], model.bias) for d in docs_])
-            scores = pa.array(model.probability(highest.reshape(-1, 2)), pa.float64())
+            highest: list[list[float]] = []
+            for texts in _stretches(batch.column(at)):
+                docs_ = [sentences(t) for t in texts]
+                if len(known) > MAX_WORDS:
+                    known.clear()
+                new = list({w for d in docs_ for s in d for w in s if w not in known})
+                known.update(zip(new, word_scores(new).tolist()))
+                highest += [two_highest([sum(map(known.__getitem__, s)) for s in d], model.bias) for d in docs_]
+            scores = pa.array(model.probability(np.array(highest).reshape(-1, 2)), pa.float64())
             yield pa.record_batch([c for i, c in enumerate(batch.columns) if keep_text or i != at] + [scores],
                                   names=[f.name for f in fields] + [score_col])
 
