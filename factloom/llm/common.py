@@ -23,3 +23,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{tag}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

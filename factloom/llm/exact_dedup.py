@@ -28,7 +28,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import let, staged
+from factloom.llm.common import free_name, let, staged
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -100,13 +100,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns, whatever their names."""
     groups = staged(exact_groups(docs, id_col, text_col), "groups")
-    kept = groups.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = F.sha2(normalised(F.col(text_col)), 256)
-    signed = docs.withColumn("__own", own)
-    rows = signed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    own, kept_id, sha = (free_name(docs, name) for name in ("__own", "__id", "__sha"))
+    kept = groups.filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(sha))
+    signed = docs.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    rows = signed.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(sha)), "left_semi")
     repeats = groups.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeats.isEmpty():  # rows that repeat both id and text
-        rows = rows.dropDuplicates([id_col, "__own"])
-    return rows.drop("__own")
+        rows = rows.dropDuplicates([id_col, own])
+    return rows.drop(own)
