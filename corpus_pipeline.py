@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import best_fit, exact_dedup, ngram_jaccard, pii, toxicity
-from factloom.llm.common import let, staged
+from factloom.llm.common import free_name, let, staged
 
 CAPACITY = 2048
 
@@ -30,8 +30,9 @@ CAPACITY = 2048
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, model, score_col="__toxicity", keep_text=True)
-    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*_names(docs))
+    column = free_name(docs, "__toxicity")
+    scored = toxicity.score(docs, model, score_col=column, keep_text=True)
+    return scored.filter(F.col(column) < toxicity.THRESHOLD).select(*_names(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
