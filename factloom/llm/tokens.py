@@ -2,7 +2,8 @@
 space dropped, BPE with word ends).
 
 A text's ids are the ids of its white-space-free chunks, one after the other:
-neither the normaliser nor the pre-tokenizer looks across white space.  Texts of
+neither the normaliser nor the pre-tokenizer looks across white space (texts that
+hold an added token's string go to the tokenizer whole).  Texts of
 Latin-1 characters are split further by the pre-tokenizer's pattern with its
 categories spelled out, and every distinct piece is encoded once per task.
 
@@ -76,9 +77,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        # The library finds these in a text before anything else.
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.fast = patterns == [_EXPECTED]
         self.ranked = None
@@ -97,7 +99,7 @@ class WordTokenizer:
         return self._whole(piece) if self.ranked is None or "\0" in piece else self.ranked.encode_ordinary(piece + "\0")
 
     def ids(self, text: str) -> bytes:
-        if self.fast:
+        if self.fast and not any(map(text.lower().__contains__, self.added)):
             try:
                 text.encode("latin-1")
                 return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import best_fit, byte_bpe
@@ -42,13 +43,13 @@ def test_bpe_task_numbering_starts_afresh(docs_of, monkeypatch):
 
 def test_word_tokenizer_equals_library():
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     own = WordTokenizer(WORDS)
     assert own.ranked is not None
     rng = random.Random(7)
     alphabet = "abcdeéßÜ'stre019 .,!-\n\t\xa0\x85Σ中🙂́"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
-    for text in texts + ["", "\0", "a\0b", "<|endoftext|> x"]:
+    for text in texts + ["", "\0", "a\0b", "<|endoftext|> x", "a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|>é",
+                         "x<|startoftext|><|endoftext|>  中<|endoftext|", "\u212a<|endoftext|>İ"]:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
@@ -82,8 +83,8 @@ def _check_packing(rows, capacity):
 
 def test_packing_pieces_and_places(odd_docs, spark, monkeypatch):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     monkeypatch.setattr(best_fit, "GROUP", 4)
+    odd_docs = odd_docs.unionByName(odd_docs.limit(1).withColumn("text", F.lit("a <|endoftext|> b <|startoftext|>")))
     cut = best_fit.pieces(odd_docs, WORDS, 64, with_ids=True)
     rows = best_fit.pack(cut, 64).collect()
     want = []
