@@ -184,7 +184,9 @@ def _kept(edges: DataFrame, length: int, least: float) -> DataFrame:
             .withColumn("last", F.min("sim").over(every))
             .withColumn("room", F.when(F.col("full") & (F.col("last") >= least),
                                        F.least(F.col("room") * 2, F.lit(LONGEST))).otherwise(F.col("room")))
-            .withColumn("floor", F.when(~F.col("full"), F.lit(-2.0)).otherwise(F.least("last", F.lit(least))).cast("float"))
+            # A list that may still grow takes every edge over the threshold.
+            .withColumn("floor", F.when(~F.col("full"), F.lit(-2.0)).when(F.col("room") < LONGEST, F.least("last", F.lit(least)))
+                        .otherwise(F.col("last")).cast("float"))
             .select("id", "nbr", "sim", "fresh", "room", "floor"))
 
 
