@@ -5,8 +5,9 @@ lengths of their tokens in bytes give every token's place.  A place where both
 have a token that begins with a space is an anchor, so the texts before it are
 verified to end together; anchors split the document into windows of token ids.
 A window's alignment depends on its ids alone and is memoised by the two id
-tuples.  Inside a window two pointers walk the token ends: every step is one
-link (two tokens that overlap), every common end closes a group.
+tuples; a chunk's new windows are aligned together.  Inside a window every place
+where a token of either ends is one link (the two tokens that overlap before it),
+every common end closes a group.
 
 Corpus-wide counts of linked id pairs: a task gathers documents into chunks of
 about ``CHUNK_BYTES`` of text and numbers the chunk's distinct pairs, so what is
@@ -45,6 +46,8 @@ from factloom.llm.common import staged
 CHUNK_BYTES = 4 << 20
 MAX_WINDOWS = 200_000
 LONG = 512
+#: Stands between the ids of two sides; no run of ids holds it.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 class ByteLevel:
@@ -80,15 +83,15 @@ class ByteLevel:
 
             ranks = {self.pieces[i]: i for token, i in vocab.items() if token not in added}
             encoding = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = encoding.encode_ordinary
+            self.encode = lambda text: np.array(encoding.encode_ordinary(text), np.int32)
         else:
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
             library.encode_special_tokens = True
-            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.encode = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         return self.encode(" " + text)
 
 
@@ -99,7 +102,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids = model.encode
+        self.ids = lambda text: np.array(model.encode(text), np.int32)
         self.pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
                        for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
 
@@ -113,66 +116,108 @@ def tokenizer(path: str) -> tuple[ByteLevel | Pieces, np.ndarray, np.ndarray]:
             np.array([p.startswith(b" ") for p in own.pieces], bool))
 
 
-def align_window(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[list[int], list[str]]:
-    """Links (id of a * 2^32 + id of b) and groups, in order, of two runs of
-    tokens over the same bytes."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = len_a[a[0]], len_b[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += len_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += len_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            if i == len(a):
-                return links, groups
-            first_a, first_b = i, j
-            end_a += len_a[a[i]]
-            end_b += len_b[b[j]]
+def align_windows(a: np.ndarray, b: np.ndarray, last: np.ndarray, len_a: np.ndarray,
+                  len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Links (id of a * 2^32 + id of b) of windows written one after the other, the
+    number of links and of groups of each, and its groups as text.  ``last``: the
+    number of a's tokens up to the end of each window.  Both sides of a window have
+    the same bytes, so their ends run on together."""
+    end_a, end_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    links = a[at_a].astype(np.int64) << 32 | b[at_b]
+    # A common end closes a group of the tokens since the one before.
+    closes = (end_a[at_a] == ends) & (end_b[at_b] == ends)
+    stop_a, stop_b = at_a[closes] + 1, at_b[closes] + 1
+    own_a, own_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    of_window = end_a[last - 1]
+    n_links = np.diff(np.searchsorted(ends, of_window, "right"), prepend=0)
+    groups = np.searchsorted(ends[closes], of_window, "right")
+    # Written in the order a's tokens of a group, b's tokens of it; by id and
+    # whether the token is its group's last.
+    ids = np.empty(len(a) + len(b), np.int64)
+    ids[np.arange(len(a)) + np.repeat(stop_b - own_b, own_a)] = a * 2
+    ids[np.arange(len(b)) + np.repeat(stop_a, own_b)] = b * 2 + 2 * len(len_a)
+    ids[stop_a - 1 + stop_b - own_b] += 1
+    ids[stop_b - 1 + stop_a] += 1
+    written = _written(len(len_a), len(len_b))
+    whole = "".join(map(written.__getitem__, ids.tolist()))
+    places = np.cumsum(_lengths(len(len_a), len(len_b))[ids])[(stop_a + stop_b)[groups - 1] - 1].tolist()
+    texts = [whole[e:f - 1] for e, f in zip([0, *places], places)]
+    return links, n_links, np.diff(groups, prepend=0), texts
+
+
+@cache
+def _written(n_a: int, n_b: int) -> list[str]:
+    """Ids with what follows them inside and at the end of a group."""
+    return [f"{i}{c}" for n, close in ((n_a, "|"), (n_b, ";")) for i in range(n) for c in (",", close)]
+
+
+@cache
+def _lengths(n_a: int, n_b: int) -> np.ndarray:
+    return np.array([len(w) for w in _written(n_a, n_b)], np.int64)
 
 
 class Windows(dict):
-    """Number of every window met, by its two id tuples (as bytes), and by number
-    its links, its count of groups and their text."""
+    """Number of every window met, by its two id tuples (32-bit ids as bytes, with
+    ``BETWEEN``); by number its links, its count of groups and their text, once
+    ``align`` has run."""
 
     def __init__(self, len_a: np.ndarray, len_b: np.ndarray):
         super().__init__()
-        self.len_a, self.len_b = len_a.tolist(), len_b.tolist()
+        self.len_a, self.len_b = len_a, len_b
         self.restart()
 
     def restart(self) -> None:
         self.clear()
-        self.links, self.starts = array("q"), array("q", [0])
-        self.groups, self.texts = array("q"), []
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        links, groups = align_window(*(np.frombuffer(ids, np.int32).tolist() for ids in key), self.len_a, self.len_b)
-        number = len(self.texts)
-        self.links.extend(links)
-        self.starts.append(len(self.links))
-        self.groups.append(len(groups))
-        self.texts.append(";".join(groups))
-        if len(key[0]) + len(key[1]) <= LONG:
+        self.links, self.starts, self.groups, self.texts = array("q"), array("q", [0]), array("q"), []
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        number = len(self.texts) + len(self.new)
+        self.new.append(key)
+        if len(key) <= LONG:
             self[key] = number
         return number
 
-
-def _cuts(ids: np.ndarray, lengths: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers and byte places of the tokens that begin with a space, and of
-    the first."""
+    def align(self) -> None:
+        """The windows met since the last call."""
+        if self.new:
+            sides = [key.split(BETWEEN) for key in self.new]
+            a, b = (np.frombuffer(b"".join([side[i] for side in sides]), np.int32) for i in range(2))
+            last = np.cumsum([len(side[0]) // 4 for side in sides])
+            links, n_links, n_groups, texts = align_windows(a, b, last, self.len_a, self.len_b)
+            self.starts.extend((len(self.links) + np.cumsum(n_links)).tolist())
+            self.links.frombytes(links.tobytes())
+            self.groups.extend(n_groups.tolist())
+            self.texts += texts
+            self.new = []
+
+
+def _starts(ids: np.ndarray, lengths: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and byte places of the tokens that begin with a space, and of the
+    first."""
     marked = space[ids]
     marked[0] = True
-    at = np.flatnonzero(marked)
-    size = lengths[ids]
+    at, size = np.flatnonzero(marked), lengths[ids]
     return at, (np.cumsum(size) - size)[at]
 
 
+def windows_of(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, place_x: np.ndarray, at_y: np.ndarray,
+               place_y: np.ndarray) -> list[bytes]:
+    """The document's windows: ids of both sides between anchors, with ``BETWEEN``."""
+    j = np.minimum(np.searchsorted(place_y, place_x), len(place_y) - 1)
+    shared = place_y[j] == place_x
+    p, q = np.append(at_x[shared], len(x)), np.append(at_y[j[shared]], len(y))
+    number = np.arange(len(p) - 1)
+    out = np.full(len(x) + len(y) + len(number), -1, np.int32)
+    out[np.arange(len(x)) + np.repeat(number + q[:-1], np.diff(p))] = x
+    out[np.arange(len(y)) + np.repeat(number + 1 + p[1:], np.diff(q))] = y
+    raw, cuts = out.tobytes(), (4 * (p + q + np.arange(len(p)))).tolist()
+    return [raw[e:f] for e, f in zip(cuts, cuts[1:])]
+
+
 _FIRST = pa.schema([("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                     ("n_links", pa.int64()), ("groups", pa.string()), ("chunk", pa.int64()),
                     ("pair", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
@@ -189,17 +234,19 @@ class _Chunk:
     """Documents aligned but not yet written."""
 
     def __init__(self) -> None:
-        self.ids, self.n_a, self.n_b, self.windows, self.texts, self.bytes = [], [], [], [], [], 0
+        self.ids, self.n_a, self.n_b, self.windows, self.bytes = [], [], [], [], 0
 
-    def add(self, doc_id: int | None, n_a: int, n_b: int, windows: list[int], text: str, size: int) -> None:
-        for column, value in zip((self.ids, self.n_a, self.n_b, self.texts), (doc_id, n_a, n_b, text)):
+    def add(self, doc_id: int | None, n_a: int, n_b: int, windows: list[int], size: int) -> None:
+        for column, value in zip((self.ids, self.n_a, self.n_b), (doc_id, n_a, n_b)):
             column.append(value)
         self.windows.append(np.array(windows, np.int64))
         self.bytes += size
 
     def batch(self, number: int, memo: Windows) -> pa.RecordBatch:
         """A row a document, and one with the chunk's distinct pairs."""
-        n = len(self.ids)
+        memo.align()
+        n, text_of = len(self.ids), memo.texts.__getitem__
+        texts = [";".join(map(text_of, w.tolist())) for w in self.windows]
         links = np.frombuffer(memo.links, np.int64) if memo.links else np.zeros(0, np.int64)
         starts, per_window = np.frombuffer(memo.starts, np.int64), np.array(memo.groups, np.int64)
         of_doc = np.repeat(np.arange(n), [len(w) for w in self.windows])
@@ -218,7 +265,7 @@ class _Chunk:
         held = np.bincount(pairs, minlength=len(keys))
         rows = pa.record_batch([
             pa.array(self.ids, pa.int64()), pa.array(self.n_a, pa.int64()), pa.array(self.n_b, pa.int64()),
-            pa.array(n_groups), pa.array(n_links, pa.int64()), pa.array(self.texts, pa.string()),
+            pa.array(n_groups), pa.array(n_links, pa.int64()), pa.array(texts, pa.string()),
             pa.array(np.full(n, number)), _lists(pairs, owner, n, pa.int32()), _lists(times, owner, n, pa.int64()),
             pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], schema=_FIRST)
         whole = pa.record_batch([pa.nulls(1, f.type) for f in _FIRST][:6] + [
@@ -239,22 +286,18 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, len_a, space_a), (b, len_b, space_b) = tokenizer(a_path), tokenizer(b_path)
         piece_a, piece_b = a.pieces.__getitem__, b.pieces.__getitem__
+        none = np.zeros(0, np.int32)
         memo, chunk, number = Windows(len_a, len_b), _Chunk(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                ids_a, ids_b = (a.ids(text), b.ids(text)) if text else ([], [])
+                x, y = (a.ids(text), b.ids(text)) if text else (none, none)
                 raw = b" " + text.encode()
-                if not ids_a or b"".join(map(piece_a, ids_a)) != raw or b"".join(map(piece_b, ids_b)) != raw:
-                    chunk.add(doc_id, 0, 0, [], "", 0)
+                if not len(x) or b"".join(map(piece_a, x.tolist())) != raw or b"".join(map(piece_b, y.tolist())) != raw:
+                    chunk.add(doc_id, 0, 0, [], 0)
                 else:
-                    x, y = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-                    (at_x, place_x), (at_y, place_y) = _cuts(x, len_a, space_a), _cuts(y, len_b, space_b)
-                    _, i, j = np.intersect1d(place_x, place_y, assume_unique=True, return_indices=True)
-                    p, q = [*(4 * at_x[i]).tolist(), 4 * len(x)], [*(4 * at_y[j]).tolist(), 4 * len(y)]
-                    xb, yb = x.tobytes(), y.tobytes()
-                    windows = [memo[xb[e:f], yb[g:h]] for e, f, g, h in zip(p, p[1:], q, q[1:])]
-                    chunk.add(doc_id, len(x), len(y), windows, ";".join(map(memo.texts.__getitem__, windows)), len(raw))
+                    windows = windows_of(x, y, *_starts(x, len_a, space_a), *_starts(y, len_b, space_b))
+                    chunk.add(doc_id, len(x), len(y), list(map(memo.__getitem__, windows)), len(raw))
                 if chunk.bytes >= CHUNK_BYTES or len(chunk.ids) >= 10_000:
                     yield chunk.batch(number, memo)
                     chunk, number = _Chunk(), number + 1
