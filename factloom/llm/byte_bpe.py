@@ -14,9 +14,11 @@ Everything is one map stage, without a shuffle or a broadcast of corpus data:
 2. The fold encodes the chunk's new words (Catalyst expressions, JVM).
 3. ``mapInArrow`` replaces word numbers by token ids.
 
-Word numbers live in the task.  After ``MAX_WORDS`` of them both Python sides
-start a new numbering at the same chunk (the row says so), so memory is bounded
-whatever the partition holds, and a lost task is simply run again.
+Word numbers live in the task.  After ``MAX_WORDS`` of them, or ``MAX_WORD_CHARS``
+characters, both Python sides start a new numbering at the same chunk (the row says
+so), so memory is bounded whatever the partition holds, and a lost task is simply run
+again.  The fold of one word takes time that grows with the square of its length
+(a run of 8,000 letters without a space takes seconds); no word is cut.
 
 Defined results: a null text encodes like the empty text (no ids, empty
 decoded bytes); a null id keeps its row; repeated rows are encoded each; an
@@ -39,13 +41,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Characters of text gathered into one chunk row, and words numbered before a
-#: task starts a new numbering.
-CHUNK_CHARS = 2_000_000
-MAX_WORDS = 2_000_000
-#: Bytes of input a task takes at least: words are told apart within a task, so
-#: a larger one folds each word less often, and holds more words.
-TASK_BYTES = 32 << 20
+#: Characters of text gathered into one chunk row; words, and characters of them,
+#: numbered before a task starts a new numbering (both Python sides hold them).
+CHUNK_CHARS = 256_000
+MAX_WORDS, MAX_WORD_CHARS = 300_000, 8_000_000
 
 _BUCKETS = 1 << 16
 #: Marks "no merge" and both ends of a word; larger than every id character.
@@ -164,10 +163,12 @@ class _Numbers(dict):
     def __init__(self, known: list[str]):
         super().__init__(zip(known, range(len(known))))
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.chars += len(word)
         return n
 
 
@@ -192,7 +193,7 @@ def _number_words(pattern: str, byte_chars: dict[int, str], known: list[str], id
             ids.clear()
             docs.clear()
             numbers.new, size, fresh = [], 0, False
-            if len(numbers) > MAX_WORDS:
+            if len(numbers) > MAX_WORDS or numbers.chars > MAX_WORD_CHARS:
                 numbers, fresh = _Numbers(known), True
             return out
 
@@ -241,10 +242,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
            text_col: str = "text") -> DataFrame:
     """One row per document: its id column and ``ids array<int>``."""
     check_ranks(ranks)
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    src = src.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1))
     kind = src.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(src.schema["id"].dataType)
     byte_chars = {b: _char(ranks[bytes([b])]) for b in range(256)}
