@@ -51,9 +51,10 @@ BETWEEN = b"\xff\xff\xff\xff"
 
 
 class ByteLevel:
-    """Byte-level BPE of the tokenizers library; ``ids(text)`` of a space and the
-    text.  A file whose ids follow its merges is also a rank table, which the
-    rank-based library merges several times faster (the tests hold both alike)."""
+    """Byte-level BPE of the tokenizers library; ``tokens(text)`` of a space and the
+    text, ``joined`` gives their bytes.  A file whose ids follow its merges is also a
+    rank table, which the rank-based library merges several times faster (the tests
+    hold both alike)."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -83,17 +84,22 @@ class ByteLevel:
 
             ranks = {self.pieces[i]: i for token, i in vocab.items() if token not in added}
             encoding = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda text: np.array(encoding.encode_ordinary(text), np.int32)
+            self.encode, self.joined = encoding.encode_ordinary, encoding.decode_bytes
         else:
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
             library.encode_special_tokens = True
-            self.encode = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.int32)
+            piece = self.pieces.__getitem__
+            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.joined = lambda ids: b"".join(map(piece, ids))
 
-    def ids(self, text: str) -> np.ndarray:
+    def tokens(self, text: str) -> list[int]:
         return self.encode(" " + text)
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokens(text), np.int32)
+
 
 class Pieces:
     """A sentencepiece model, which puts a space before the text itself."""
@@ -102,9 +108,11 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids = lambda text: np.array(model.encode(text), np.int32)
+        self.tokens = model.encode
         self.pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
                        for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
+        piece = self.pieces.__getitem__
+        self.joined = lambda ids: b"".join(map(piece, ids))
 
 
 @cache
@@ -285,17 +293,16 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     pairs, ``held`` the number of its documents that hold each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, len_a, space_a), (b, len_b, space_b) = tokenizer(a_path), tokenizer(b_path)
-        piece_a, piece_b = a.pieces.__getitem__, b.pieces.__getitem__
-        none = np.zeros(0, np.int32)
         memo, chunk, number = Windows(len_a, len_b), _Chunk(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                x, y = (a.ids(text), b.ids(text)) if text else (none, none)
                 raw = b" " + text.encode()
-                if not len(x) or b"".join(map(piece_a, x.tolist())) != raw or b"".join(map(piece_b, y.tolist())) != raw:
+                x, y = (a.tokens(text), b.tokens(text)) if text else ([], [])
+                if not x or a.joined(x) != raw or b.joined(y) != raw:
                     chunk.add(doc_id, 0, 0, [], 0)
                 else:
+                    x, y = np.array(x, np.int32), np.array(y, np.int32)
                     windows = windows_of(x, y, *_starts(x, len_a, space_a), *_starts(y, len_b, space_b))
                     chunk.add(doc_id, len(x), len(y), list(map(memo.__getitem__, windows)), len(raw))
                 if chunk.bytes >= CHUNK_BYTES or len(chunk.ids) >= 10_000:
