@@ -30,6 +30,25 @@ def lexical_ok(value: Column, datatype: Column | str) -> Column:
             .otherwise(value.isNotNull()))
 
 
+#: Node kinds of a shape, with what they let pass (fixed values).
+NODE_KINDS = {"IRI": ("IRI",), "Literal": ("Literal",), "BlankNode": ("BlankNode",), "BlankNodeOrIRI": ("BlankNode", "IRI"),
+              "BlankNodeOrLiteral": ("BlankNode", "Literal"), "IRIOrLiteral": ("IRI", "Literal")}
+
+
+def object_kind(value: Column, datatype: Column) -> Column:
+    """Kind of a triple's object: what has a datatype is a literal, the rest a blank
+    node by its prefix or an IRI."""
+    return F.when(datatype.isNotNull(), L("Literal")).when(F.startswith(value, L("_:")), L("BlankNode")).otherwise(L("IRI"))
+
+
+def kind_ok(kind: Column, wanted: Column) -> Column:
+    """Whether a kind is one that a shape's node kind (with or without prefix) lets
+    pass; no node kind lets all pass, an unknown one none."""
+    table = F.create_map(*[x for name, kinds in NODE_KINDS.items() for x in (L(name), F.array(*map(L, kinds)))])
+    passed = F.element_at(table, F.regexp_replace(wanted, "^.*[:#/]", ""))
+    return wanted.isNull() | F.coalesce(F.array_contains(passed, kind), L(False))
+
+
 def _rule(triples: Column, path: str, datatype: str, min_c, max_c) -> Column:
     rel = local_name(path)
     vals = F.filter(triples, lambda t: t["p"] == rel)
@@ -68,13 +87,21 @@ def shape_report(triples: DataFrame, shape: DataFrame, ent: str = "ex_id") -> Da
     shape row by a broadcast equi-join on a constant-free key: the relation
     name of each triple, with entities lacking a path recovered by the
     per-entity path list — no cross product.
+
+    Node kinds are known where the triples have a column ``dt``; then an object that
+    is no literal also fails a datatype.
     """
-    sh = F.broadcast(shape.select("relation", "path", "datatype", "min_count", "max_count",
+    typed = "dt" in triples.columns
+    sh = F.broadcast(shape.select("relation", "path", "datatype", "min_count", "max_count", "node_kind",
                                   "or_group", "or_branch"))
+    bad = ~lexical_ok(F.col("o"), F.col("datatype"))
+    kind = object_kind(F.col("o"), F.col("dt")) if typed else L("Literal")
+    if typed:
+        bad = bad | (F.col("datatype").isNotNull() & (kind != "Literal"))
+    off_kind = ~kind_ok(kind, F.col("node_kind")) if typed else L(False)
     per_path = (triples.join(sh, triples.p == sh.relation, "inner")
                 .groupBy(ent, "path", "datatype", "min_count", "max_count", "or_group", "or_branch")
-                .agg(F.count(L(1)).alias("n"),
-                     F.count_if(~lexical_ok(F.col("o"), F.col("datatype"))).alias("n_bad")))
+                .agg(F.count(L(1)).alias("n"), F.count_if(bad).alias("n_bad"), F.count_if(off_kind).alias("n_off")))
     # paths an entity lacks: the shape's paths minus the entity's present ones,
     # as an array difference per entity (shape paths are a literal array).
     all_paths = F.array(*[L(p) for p, *_ in SHAPE])
@@ -85,9 +112,11 @@ def shape_report(triples: DataFrame, shape: DataFrame, ent: str = "ex_id") -> Da
                    "present", F.array().cast("array<string>")))).alias("path"))
                .join(F.broadcast(shape.select("path", "datatype", "min_count", "max_count",
                                               "or_group", "or_branch")), "path")
-               .withColumn("n", L(0).cast("long")).withColumn("n_bad", L(0).cast("long")))
+               .withColumn("n", L(0).cast("long")).withColumn("n_bad", L(0).cast("long"))
+               .withColumn("n_off", L(0).cast("long")))
     rows = per_path.unionByName(missing)
-    rule = (F.when(F.col("n_bad") > 0, L("datatype"))
+    rule = (F.when(F.col("n_off") > 0, L("nodeKind"))
+            .when(F.col("n_bad") > 0, L("datatype"))
             .when(F.col("min_count").isNotNull() & (F.col("n") < F.col("min_count")), L("minCount"))
             .when(F.col("max_count").isNotNull() & (F.col("n") > F.col("max_count")), L("maxCount")))
     return rows.withColumn("failed_rule", rule)
