@@ -226,8 +226,11 @@ def matches(text: str, index: Index, min_coverage: float) -> list[tuple[str, flo
     candidates = index.candidates(ids, min_coverage)
     if not candidates:
         return []
-    # Lower case may change a text's length; places are those of the text itself.
-    places = [m.span() for m in _WORD.finditer(text if len(found) == len(text) else found)]
+    places = [m.span() for m in _WORD.finditer(found)]
+    if len(found) != len(text):
+        # Lower case has another length here; places are those of the text itself.
+        owner = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
+        places = [(owner[start], owner[end - 1] + 1) for start, end in places]
     own = words(text)
     aligned = []
     for name, begin, moves, low, high in candidates:

@@ -214,6 +214,14 @@ def test_license_scan(docs_of, odd_docs):
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_license_places_where_lower_case_is_longer(docs_of):
+    notice = "Released under the MIT License"
+    texts = ["\u0130\u0130 x \u0130\u0130 " + notice + ". More \u0130", "\u0130" + " \u0130" * 40 + "\n" + notice.upper() + " \u0130",
+             notice.replace("i", "\u0130") + " " + notice]
+    got = [(texts[r.doc_id][r.start:r.end]) for r in license_scan.scan(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert len(got) == 3 and all(g.lower().endswith("the mit license") and g.lower().startswith(("released", "under")) for g in got), got
+
+
 def test_license_with_insertions_and_omissions_over_the_band():
     index = license_scan.Index(license_scan.TEMPLATES)
     for name in ("mit", "isc", "apache-2.0", "gpl"):
