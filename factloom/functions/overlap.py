@@ -19,16 +19,25 @@ def ngrams(units: Column, n: int) -> Column:
         F.slice(units, i + 1, L(n)), "\x1f"))).otherwise(F.array().cast("array<string>"))
 
 
-def _count(grams: Column, g: Column) -> Column:
-    return F.size(F.filter(grams, lambda x: x == g))
+def numbered(units: Column) -> Column:
+    """Every unit with its number among its equals, in sorted order: as a set, that
+    is the multiset of the units.  The units are sorted and each run of equals is
+    numbered from its start, so the work follows their number."""
+    def runs(xs: Column) -> Column:
+        starts = F.filter(F.sequence(L(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
+
+        def each(ss: Column) -> Column:
+            return F.flatten(F.transform(ss, lambda s, j: F.transform(
+                F.sequence(L(0), F.coalesce(F.get(ss, j + 1), F.size(xs)) - s - 1),
+                lambda k: F.concat_ws("\x1e", F.get(xs, s), k.cast("string")))))
+        return F.when(F.size(xs) > 0, _let(starts, each)).otherwise(F.array().cast("array<string>"))
+    return _let(F.array_sort(units), runs)
 
 
 def clipped(pred: Column, refs: Column) -> Column:
     """Runs of ``pred`` that some reference holds, each as often as the reference
     with most of it does.  ``refs``: array of run arrays."""
-    per_gram = F.transform(F.array_distinct(pred), lambda g: F.least(
-        _count(pred, g), F.coalesce(F.array_max(F.transform(refs, lambda r: _count(r, g))), L(0))))
-    return F.aggregate(per_gram, L(0), lambda s, x: s + x)
+    return F.size(F.array_intersect(numbered(pred), F.flatten(F.transform(refs, numbered))))
 
 
 def characters(text: Column) -> Column:

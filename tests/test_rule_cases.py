@@ -71,6 +71,10 @@ def test_relations_from_markers(spark):
         "<triplet> a <subj> b <obj>": [], "": [], "a b": [],
         "<triplet> a <subj> b <obj> r <triplet> c <subj> d": [("a", "b", "r")],
         "<triplet> a <subj> b <obj> r <subj> c": [("a", "b", "r"), ("a", "c", "r")],
+        # a head without a tail of its own keeps the last one; a type waits for the next marker
+        "<triplet> a <subj> b <obj> r <triplet> c <obj> q": [("a", "b", "r"), ("c", "b", "q")],
+        "x <obj> r <subj> b": [("", "", "r")], "<subj> b <obj> r": [], "<triplet> <subj> b <obj> r <triplet>": [("", "b", "r")],
+        "<triplet> a <subj> b <obj> r <obj> q": [("a", "b", "q")], "a<subj>b <triplet> c<obj> d": [],
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", M.extract(F.col("t")).alias("x"))
     assert {r.t: [tuple(x) for x in r.x] for r in df.collect()} == cases
@@ -78,6 +82,13 @@ def test_relations_from_markers(spark):
     typed = "<triplet> a <peop>  b <loc> r <peop> c <peop> q <triplet> d <loc>  e <loc> r"
     row = spark.createDataFrame([(typed,)], "t string").select(M.extract_typed(F.col("t"), types).alias("x")).first()
     assert [tuple(x) for x in row.x] == [("a", "Peop", "b", "Loc", "r"), ("a", "Peop", "c", "Peop", "q"), ("d", "Loc", "e", "Loc", "r")]
+    odd = {
+        "<peop> r <loc> b <peop> q": [("", "", "", "Peop", "r")], "": [], "<triplet> a <peop> b": [],
+        "<triplet> a <peop> b <loc> r <peop> c": [("a", "Peop", "b", "Loc", "r"), ("a", "Peop", "c", "Loc", "r")],
+        "<triplet> a <peop> <loc> r <triplet> d": [("a", "Peop", "", "Loc", "r")], "<triplet> a <peop> <loc> r": [],
+    }
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", M.extract_typed(F.col("t"), types).alias("x"))
+    assert {r.t: [tuple(x) for x in r.x] for r in df.collect()} == odd
 
 
 def test_overlap_scores(spark):
@@ -94,6 +105,24 @@ def test_overlap_scores(spark):
     assert got == [(0.666667, 0.5), (0.0, 0.0), (0.5, 0.0)]
 
 
+def test_common_runs_as_multisets(spark):
+    import random
+    from collections import Counter
+
+    from factloom.functions import overlap as OV
+
+    rng = random.Random(3)
+    units = ["a", "b", "", "\x1e", "a\x1e0", "é"]
+    rows = [([rng.choice(units) for _ in range(rng.randrange(12))],
+             [[rng.choice(units) for _ in range(rng.randrange(12))] for _ in range(rng.randrange(3))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p array<string>, r array<array<string>>")
+    for r in df.select("p", "r", OV.clipped(F.col("p"), F.col("r")).alias("n")).collect():
+        most = Counter()
+        for ref in r.r:
+            most |= Counter(ref)
+        assert r.n == sum((Counter(r.p) & most).values())
+
+
 def test_sentence_windows_against_brute_force(spark):
     import re
 
