@@ -7,7 +7,9 @@ Lines travel as 96-bit hashes (two independent functions): counting and the
 join back to documents shuffle a few bytes a line, and the texts move once, to
 meet their dropped hashes.  A line in a third of all documents costs one
 partial count per task; in the join back it is one side of an equi-join, which
-AQE may split, and per-document gathering is bounded by the document.
+AQE may split.  What a text loses are positions, gathered per id and text (a 64-bit
+hash tells the texts of one id apart), so rows that share an id, null ones too, are
+not gathered together; taking the positions out is linear in the document.
 
 Defined results: a null or empty text is one empty line; lines whose key is
 shorter than ``min_chars`` code points are never dropped; a line repeated in one
@@ -45,22 +47,24 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                         text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_lines`` (before), ``n_dropped`` and the kept ``text``."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = F.transform(_lines(F.col("text")), line_key)
+    hashes = F.transform(_lines(F.col("text")), lambda x: let(line_key(x), lambda k: F.when(
+        F.char_length(k) >= F.lit(max(min_chars, 1)), _hashed(k))))
     seen = staged(
-        src.select("id", F.explode(F.array_distinct(F.transform(
-            F.filter(keys, lambda k: F.char_length(k) >= F.lit(max(min_chars, 1))), _hashed))).alias("h"))
-        .select("id", "h.h1", "h.h2"), "lines")
-    repeated = (seen.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
+        src.select("id", F.xxhash64("text").alias("t"), F.posexplode(hashes).alias("pos", "h"))
+        .filter("h IS NOT NULL").select("id", "t", "pos", "h.h1", "h.h2"), "lines")
+    repeated = (seen.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
                 .filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
     repeated = staged(repeated, "repeated-lines")  # a join of two plain sides, which AQE may split or broadcast
     dropped = (seen.join(repeated, ["h1", "h2"], "left_semi")
-               .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-               .select(F.col("id").alias("gone_id"), "gone"))
-    both = src.join(dropped, F.col("id").eqNullSafe(F.col("gone_id")), "left")
+               .groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
+               .select(F.col("id").alias("gone_id"), F.col("t").alias("gone_t"), "gone"))
+    both = src.withColumn("t", F.xxhash64("text")).join(
+        dropped, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left")
     kept = let(_lines(F.col("text")), lambda lines: F.struct(
         F.size(lines).alias("n"),
-        F.when(F.col("gone").isNull(), lines).otherwise(
-            F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _hashed(line_key(x))))).alias("kept")))
+        F.when(F.col("gone").isNull(), lines).otherwise(F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")),
+            lambda i: F.get(lines, i))).alias("kept")))
     return both.select("id", kept.alias("r")).select(
         F.col("id").alias(id_col), F.col("r.n").cast("long").alias("n_lines"),
         (F.col("r.n") - F.size("r.kept")).cast("long").alias("n_dropped"),

@@ -26,6 +26,13 @@ def test_line_dedup(odd_docs, docs_of):
     want += [("4", 3, 3, ""), ("4", 2, 1, "other")]
     assert got == sorted(want)
     _no_python(line_dedup.drop_repeated_lines(docs, 4, 1))
+    # A document of many dropped lines, told apart from another text and an equal row of its id.
+    long = "\n".join(f"{i % 7000}\n only {i}" for i in range(20_000))
+    many = docs_of([(1, long), (1, "6\n only x"), (1, long), (2, "\n".join(map(str, range(7000)))), (None, "6"), (None, "zz")])
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(many, 2, 1).collect())
+    only = "\n".join(f" only {i}" for i in range(20_000))
+    assert got == sorted([("1", 40_000, 20_000, only)] * 2 + [("1", 2, 1, " only x"), ("2", 7000, 7000, ""),
+                                                             ("None", 1, 1, ""), ("None", 1, 0, "zz")])
     assert line_dedup.drop_repeated_lines(odd_docs, 100, 1).filter("n_dropped > 0").count() == 0
     assert line_dedup.drop_repeated_lines(odd_docs.limit(0), 2, 1).count() == 0
 
