@@ -91,9 +91,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ended = ended.unionByName(level.filter((F.col("n") > width // 2) & (F.col("n") <= width)))
 
     identified = staged(rows.select("rid", "id", "sha", "n").join(ended.select("rid", "name"), "rid"), "identified")
-    groups = identified.groupBy("n", "name").agg(
+    # Written before the join, so that AQE may split a large group between plain sides.
+    groups = staged(identified.groupBy("n", "name").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("keep"),
-        F.count(F.lit(1)).alias("group_size"))
+        F.count(F.lit(1)).alias("group_size")), "groups")
     return identified.join(groups, ["n", "name"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
