@@ -23,8 +23,8 @@ Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without an id; candidates are all rows but
 those of the query's own id; fewer than k candidates give fewer rows; ties go to
 the smaller id, repeated rows of an id count once (the first by vector); empty
-tables give empty results.  Vectors must have the dimension of the majority
-table; others are an error of the input and take no part.
+tables give empty results.  The dimension is the one that most candidates of the
+whole table have (of equals the smaller); vectors of another take no part.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import staged
 
 #: Vectors of a shard and queries of a block, about; vectors of a leaf.
-SHARD, BLOCK, LEAF = 16384, 1024, 64
+SHARD, BLOCK, LEAF = 16384, 4096, 64
 
 
 def usable(vector: Column) -> Column:
@@ -136,6 +136,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1
                 .groupBy("id").agg(F.min("v").alias("v")))
 
     points, asked = staged(clean(vectors), "vectors"), staged(clean(queries), "queries")
+    most = points.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if most:
+        points, asked = points.filter(F.size("v") == most["d"]), asked.filter(F.size("v") == most["d"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, widest = points.agg(F.count(F.lit(1)), F.max(norm)).first()
     q = asked.count()
@@ -150,11 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        own, ask = group[~group["query"]], group[group["query"]]
-        if len(own) and len(ask):
-            size = own["v"].map(len).mode()[0]
-            own = own[own["v"].map(len) == size].sort_values("id")
-            ask = ask[ask["v"].map(len) == size]
+        own, ask = group[~group["query"]].sort_values("id"), group[group["query"]]
         if len(own) and len(ask):
             x = np.stack(own["v"].to_list())
             distinct, first, member = np.unique(x, axis=0, return_index=True, return_inverse=True)

@@ -122,6 +122,22 @@ def test_nearest_exact_against_brute_force(spark, monkeypatch):
     assert vantage.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [10, 25, 16384])
+def test_nearest_has_one_dimension_for_the_table(spark, monkeypatch, shard):
+    monkeypatch.setattr(vantage, "SHARD", shard)
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.normal(size=2 if i % 2 else 3).tolist() for i in range(80)} | {100: [1.0, 2.0], 120: [1.0, 0.0, 3.0]}
+    vectors |= {101: [2.0, 2.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id IN (1, 20, 33, 100, 120)")
+    found = {}
+    for r in vantage.search(rows, asked, 5).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    pairs = {i: v for i, v in vectors.items() if len(v) == 2}  # 42 of 83
+    want = {q: sorted((i for i in pairs if i != q), key=lambda i: (-np.dot(pairs[q], pairs[i]), i))[:5] for q in (1, 33, 100)}
+    assert found == want
+
+
 @pytest.mark.parametrize("values", [(0, 1), (-1, 0, 1), (0, 0.1, 0.3)])
 def test_nearest_ties_of_different_vectors_go_to_the_smaller_id(spark, monkeypatch, values):
     monkeypatch.setattr(vantage, "SHARD", 150)
