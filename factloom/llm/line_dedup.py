@@ -56,15 +56,19 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                 .filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
     repeated = staged(repeated, "repeated-lines")  # a join of two plain sides, which AQE may split or broadcast
     dropped = (seen.join(repeated, ["h1", "h2"], "left_semi")
-               .groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
+               .groupBy("id", "t").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
                .select(F.col("id").alias("gone_id"), F.col("t").alias("gone_t"), "gone"))
     both = src.withColumn("t", F.xxhash64("text")).join(
         dropped, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left")
+    # One flag a line up to the last that goes: true between two of them.
+    gap = lambda p, j: p - F.coalesce(F.get(F.col("gone"), j - 1), F.lit(-1)) - 1
+    stays = F.flatten(F.transform("gone", lambda p, j: F.concat(
+        F.array_repeat(F.lit(True), gap(p, j)), F.array(F.lit(False)))))
+    both = both.select("id", "text", stays.alias("stays"))
     kept = let(_lines(F.col("text")), lambda lines: F.struct(
         F.size(lines).alias("n"),
-        F.when(F.col("gone").isNull(), lines).otherwise(F.transform(
-            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")),
-            lambda i: F.get(lines, i))).alias("kept")))
+        F.when(F.col("stays").isNull(), lines).otherwise(F.filter(
+            lines, lambda _, i: F.coalesce(F.get(F.col("stays"), i), F.lit(True)))).alias("kept")))
     return both.select("id", kept.alias("r")).select(
         F.col("id").alias(id_col), F.col("r.n").cast("long").alias("n_lines"),
         (F.col("r.n") - F.size("r.kept")).cast("long").alias("n_dropped"),
