@@ -157,3 +157,13 @@ def shift_right(ids: Column, start: int = 2, pad: int = 0) -> Column:
     """Prepend the start id, drop the last, unmask -100 to pad."""
     shifted = F.concat(F.array(L(start)), F.slice(ids, 1, F.size(ids) - 1))
     return F.transform(shifted, lambda x: F.when(x == -100, L(pad)).otherwise(x))
+
+
+def shift_left(ids: Column, pad: int = 0) -> Column:
+    """Drop the first, append the pad; no ids stay none."""
+    return F.when(F.size(ids) > 0, F.concat(F.slice(ids, L(2), F.size(ids) - 1), F.array(L(pad)))).otherwise(ids)
+
+
+def flat_words(sentences: Column) -> Column:
+    """The words of all sentences, joined by a space."""
+    return F.array_join(F.flatten(sentences), " ")

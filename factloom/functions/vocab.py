@@ -44,3 +44,14 @@ SYNTAXES = [
 
 # Saturation threshold of the meta-metrics (metrics scaled to 0..1).
 SATURATION_THRESHOLD = 0.9
+
+# Marks of a syntax that a vocabulary is extended by (fixed values).
+SYNTAX_MARKS = {
+    "list": ["[", "]", ",", "'"],
+    "tags": [TAG_SUBJ, TAG_REL, TAG_OBJ, TAG_END],
+    "ntriples": ["<", ">", ".", "\n", '"', "^^", "@", "_:"],
+    "turtle": [".", ",", ";", "\n", ":", "<", ">", "@base", "@prefix", "'", '"', "'''", '"""', "^^", "@", "[", "]", "{", "}",
+               "(", ")", "_:", " a "],
+    "xml": [":", "</", "<", ">", " />", "\n", "=", "<?", "?>", "rdf:RDF", "rdf:ID", "rdf:type", "rdf:about", "rdf:parseType",
+            "rdf:resource", "rdf:nodeID", "rdf:datatype", "rdf:li", "rdf:_", "xml:lang", "xml:base", "xmlns:"],
+}

@@ -26,4 +26,4 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from factloom.plans import (  # noqa: F401
         q_annotated, q_articles, q_build, q_codec, q_corpora, q_extend, q_history, q_io, q_relations, q_results, q_scoring,
-        q_shapes, q_text)
+        q_serial, q_shapes, q_text)

@@ -159,3 +159,21 @@ def a11_mean_generated_length(spark, sf_dir):
     ids = TX.token_ids(F.col("text"))
     return table(spark, sf_dir, "documents", "text").agg(
         F.round(F.avg(F.size(F.filter(ids, lambda x: x != 0))), 6).alias("mean_len"))
+
+
+_LINE_WORDS = "list_transform(string_split(text, chr(10)), lambda s: list_filter(string_split_regex(s, '\\s+'), lambda w: w <> ''))"
+
+
+@query("t6_t7_shift_left_flat", f"""
+WITH t AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''),
+                  lambda w: CAST((length(w) * 31 + ascii(w)) % 997 + 3 AS INTEGER)) AS ids, {_LINE_WORDS} AS sents FROM documents),
+p AS (SELECT *, list_concat(ids[1:32], list_transform(range(32 - len(ids[1:32])), lambda x: 0)) AS padded FROM t)
+SELECT doc_id, array_to_string(list_concat(padded[2:], [0]), ',') AS shifted_left,
+       CAST(len(sents) AS INTEGER) AS n_sentences, md5(array_to_string(flatten(sents), ' ')) AS flat_md5 FROM p""")
+def t6_t7_shift_left_flat(spark, sf_dir):
+    """Padded ids shifted left; T7: the words of all lines of a document as one text."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    d = d.withColumn("padded", TX.truncate_pad(TX.token_ids(F.col("text")), 32)).withColumn(
+        "sents", F.transform(F.split("text", "\n"), lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")))
+    return d.select("doc_id", F.array_join(TX.shift_left(F.col("padded")), ",").alias("shifted_left"),
+                    F.size("sents").alias("n_sentences"), F.md5(TX.flat_words(F.col("sents"))).alias("flat_md5"))

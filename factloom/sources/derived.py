@@ -89,12 +89,16 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sort_array(F.collect_set("o_orderpriority")).alias("priorities")))
 
 
-def work_partitions(spark: SparkSession) -> int:
-    """Partitions for CPU-heavy per-row work (serialise / decode / score):
-    the cluster's total cores, so a small dimension scanned as one file does
-    not run all per-row expressions in one task, and a tiny input does not
-    become hundreds of near-empty tasks."""
-    return spark.sparkContext.defaultParallelism
+#: Entities of a task of per-row work, at most about.
+ROWS_PER_TASK = 50_000
+
+
+def work_partitions(rows: DataFrame) -> int:
+    """Partitions for CPU-heavy per-row work (serialise / decode / score): enough
+    that none has over about ``ROWS_PER_TASK`` rows, whatever the table holds, and
+    no fewer than the cluster's cores, so that a small dimension read as one file
+    is not one task.  The count is read from the files' footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,7 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(ENTITY_PREFIX), F.col("c_custkey").cast("string")).alias("ent"),
                     "c_name", "c_mktsegment", "n_name", "first_order", "last_order",
                     "priorities")
-            .repartition(work_partitions(spark), "ex_id"))
+            .repartition(work_partitions(c), "ex_id"))
 
 
 def facts_of(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 """Every registered query with an oracle, Spark vs DuckDB on sf0.001 (the
-driver does the same at sf0.01), but those that only repeat the score pipeline
-of ``a1_relation_counts`` and ``a8_quality_rates``."""
+driver does the same at sf0.01)."""
 
 import pytest
 
@@ -9,11 +8,8 @@ from conftest import SF
 from factloom.plans import catalog
 from oracle_check import compare, duck
 
-REPEATS = {"a1_a3_score_report", "a2_relation_prf", "a3_micro_prf", "a4_macro_prf", "a9_parse_rates",
-           "d10_decode_predictions"}
-
 catalog.load_all()
-NAMES = sorted(set(catalog.ORACLE) - REPEATS)
+NAMES = sorted(catalog.ORACLE)
 
 
 @pytest.fixture(scope="module")

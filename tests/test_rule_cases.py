@@ -144,3 +144,19 @@ def test_sentence_windows_against_brute_force(spark):
             want[r.doc_id, i] = (g[0][0], g[-1][1], len(g), "|".join(f"{a}:{b}:{t}" for a, b, t in inside))
     got = {(r.doc_id, r.window): (r.start, r.stop, r.n_sentences, r.entities) for r in w9_j9_sentence_windows(spark, sf).collect()}
     assert got == want and any(v[2] > 1 for v in want.values())
+
+
+def test_shift_left_and_flat_words(spark):
+    from factloom.functions import text as TX
+
+    df = spark.createDataFrame([([5, 6, 7], [["a", "b"], [], ["c"]]), ([4], [[]]), ([], [])], "i array<int>, s array<array<string>>")
+    got = [(r.x, r.y) for r in df.select(TX.shift_left(F.col("i")).alias("x"), TX.flat_words(F.col("s")).alias("y")).collect()]
+    assert got == [([6, 7, 0], "a b c"), ([0], ""), ([], "")]
+
+
+def test_work_partitions_follow_the_rows(spark, monkeypatch):
+    from factloom.sources import derived
+
+    assert derived.work_partitions(spark.range(10)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 10)
+    assert derived.work_partitions(spark.range(1001)) == 101
