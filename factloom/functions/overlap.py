@@ -31,7 +31,7 @@ def numbered(units: Column) -> Column:
                 F.sequence(L(0), F.coalesce(F.get(ss, j + 1), F.size(xs)) - s - 1),
                 lambda k: F.concat_ws("\x1e", F.get(xs, s), k.cast("string")))))
         return F.when(F.size(xs) > 0, _let(starts, each)).otherwise(F.array().cast("array<string>"))
-    return _let(F.array_sort(units), runs)
+    return _let(F.sort_array(units), runs)  # array_sort would call its comparator by the expression
 
 
 def clipped(pred: Column, refs: Column) -> Column:
@@ -50,8 +50,7 @@ def char_bleu(pred: Column, refs: Column, order: int = 4) -> Column:
     def of(p: Column) -> Column:
         def with_refs(rs: Column) -> Column:
             def precision(n: int) -> Column:
-                runs = ngrams(p, n)
-                return clipped(runs, F.transform(rs, lambda r: ngrams(r, n))) / F.size(runs)
+                return clipped(ngrams(p, n), F.transform(rs, lambda r: ngrams(r, n))) / (F.size(p) - (n - 1))
 
             # the reference closest in length, the shorter one of equals
             closest = F.array_min(F.transform(rs, lambda r: F.struct(F.abs(F.size(r) - F.size(p)), F.size(r).alias("n"))))["n"]
@@ -70,7 +69,12 @@ def words(t: Column) -> Column:
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     """A10: F-measure of common runs of n words (lower case, letters and digits)."""
-    return _let(F.struct(ngrams(words(pred), n).alias("p"), ngrams(words(ref), n).alias("r")), lambda x: _let(
+    return common_runs(words(pred), words(ref), n)
+
+
+def common_runs(pred: Column, ref: Column, n: int) -> Column:
+    """``rouge_n`` of two word arrays."""
+    return _let(F.struct(ngrams(pred, n).alias("p"), ngrams(ref, n).alias("r")), lambda x: _let(
         clipped(x["p"], F.array(x["r"])), lambda c: F.when(c > 0, 2 * c / (F.size(x["p"]) + F.size(x["r"]))).otherwise(L(0.0))))
 
 

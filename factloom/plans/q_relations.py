@@ -11,7 +11,7 @@ from factloom.operators.ordering import row_index
 from factloom.plans.catalog import query
 from factloom.plans.oracle import with_facts
 from factloom.session import cut_lineage
-from factloom.sources.derived import entity_facts, entity_pairs
+from factloom.sources.derived import entity_facts, entity_pairs, work_partitions
 from factloom.sources.tables import table
 
 _TYPES = {"Entity": "<entity>", "Trader": "<trader>", "Date": "<date>", "Text": "<text>"}
@@ -147,17 +147,23 @@ SELECT conv_id, turn, {_f_sql(1)}, {_f_sql(2)} FROM t LEFT JOIN ({_rouge_sql(1)}
 LEFT JOIN ({_rouge_sql(2)}) k2 USING (doc_id)""")
 def a10_rouge(spark, sf_dir):
     """A10: ROUGE-1 and ROUGE-2 of every turn against the turn before it."""
-    return _turn_pairs(spark, sf_dir).select(
-        "conv_id", "turn", F.round(OV.rouge_n(F.col("text"), F.col("ref"), 1), 6).alias("rouge1"),
-        F.round(OV.rouge_n(F.col("text"), F.col("ref"), 2), 6).alias("rouge2"))
+    pairs = _turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", OV.words(F.col("text")).alias("p"), OV.words(F.col("ref")).alias("r"))
+    return pairs.select("conv_id", "turn", *[
+        F.round(OV.common_runs(F.col("p"), F.col("r"), n), 6).alias(f"rouge{n}") for n in (1, 2)])
+
+
+_TURNS_PER_TASK = 2_000
 
 
 def _turn_pairs(spark, sf_dir) -> DataFrame:
-    """conv_id, turn, text and ``ref``, the text of the turn before."""
+    """conv_id, turn, text and ``ref``, the text of the turn before, spread by rows:
+    a partition by size holds far more turns than one task can compare."""
     turns = row_index(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), ["conv_id"], ["turn"])
     turns = cut_lineage(turns)
     earlier = turns.select("conv_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("ref"))
-    return turns.join(earlier, ["conv_id", "idx"]).where("text IS NOT NULL AND ref IS NOT NULL")
+    pairs = turns.join(earlier, ["conv_id", "idx"]).where("text IS NOT NULL AND ref IS NOT NULL")
+    return pairs.repartition(work_partitions(turns, _TURNS_PER_TASK), "conv_id", "idx")
 
 
 # The longest increasing run of the places that each word of a turn has in the one before.
