@@ -89,12 +89,18 @@ def a12_property_counters(spark, sf_dir):
                               F.count_if(F.col("kept").isNull()).alias("n_not_grounded"))
 
 
-def corpus_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grounded facts that are kept, checkpointed: the corpus, its years, its shape
+    report and its counts read them a dozen times, and each time would be the joins
+    of ``grounded`` again, their sorts held side by side in one task."""
+    return cut_lineage(grounded(spark, sf_dir).where(F.col("kept").isNotNull()))
+
+
+def corpus_base(kept: DataFrame) -> DataFrame:
     """Grounded facts of entities keeping ≥1 fact (G7) plus their type
     triple.  For the V4 path to be exercised, the year facts of key % 7 = 0
     are withheld."""
-    g = grounded(spark, sf_dir).where(F.col("kept").isNotNull())
-    g = g.where(~((F.col("ex_id") % 7 == 0) & (F.col("p") == "firstOrderYear")))
+    g = kept.where(~((F.col("ex_id") % 7 == 0) & (F.col("p") == "firstOrderYear")))
     g = g.select("ex_id", "s", "p", F.col("kept").alias("o"), "dt")
     keep = g.select("ex_id", "s").distinct()
     typed = keep.select("ex_id", "s", F.lit("type").alias("p"), F.lit("Customer").alias("o"),
@@ -102,9 +108,9 @@ def corpus_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.unionByName(typed)
 
 
-def corpus_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_triples(kept: DataFrame) -> DataFrame:
     """Corpus triples with years inferred from dates where missing (V4)."""
-    return infer_years(corpus_base(spark, sf_dir), "firstOrderDate", "firstOrderYear")
+    return infer_years(corpus_base(kept), "firstOrderDate", "firstOrderYear")
 
 
 CORPUS_CTES = ABS_CTE + """,
@@ -121,7 +127,7 @@ ct AS (SELECT * FROM gt UNION ALL SELECT * FROM added)"""
 @query("v4_j7_year_inference", with_facts("SELECT ex_id, p, o FROM added", CORPUS_CTES))
 def v4_j7_year_inference(spark, sf_dir):
     """V4 via J7 (left-anti): years added for entities with a date and no year."""
-    return inferred_years(corpus_base(spark, sf_dir), "firstOrderDate", "firstOrderYear").select("ex_id", "p", "o")
+    return inferred_years(corpus_base(kept_facts(spark, sf_dir)), "firstOrderDate", "firstOrderYear").select("ex_id", "p", "o")
 
 
 def _shape_values_sql() -> str:
@@ -158,13 +164,14 @@ conf AS (SELECT e.ex_id, coalesce(p.ok, true) AND coalesce(g.ok, true)
 
 
 def report(spark, sf_dir) -> DataFrame:
-    ct = corpus_triples(spark, sf_dir)
+    ct = corpus_triples(kept_facts(spark, sf_dir))
     return shape_report(ct.select("ex_id", "p", "o"), shape_df(spark))
 
 
-def conformance(spark, sf_dir) -> DataFrame:
-    ct = corpus_triples(spark, sf_dir)
-    rep = shape_report(ct.select("ex_id", "p", "o"), shape_df(spark))
+def conformance(kept: DataFrame) -> DataFrame:
+    spark, ct = kept.sparkSession, corpus_triples(kept)
+    # read twice, for plain paths and for branches
+    rep = cut_lineage(shape_report(ct.select("ex_id", "p", "o"), shape_df(spark)))
     typed = ct.where((F.col("p") == "type") & (F.col("o") == "Customer")).select("ex_id").distinct()
     c = conforming_entities(rep)
     return c.join(typed.withColumn("_t", F.lit(True)), "ex_id", "left").select(
@@ -180,7 +187,7 @@ def v2_shape_violations(spark, sf_dir):
 
 @query("v1_v3_conformance", with_facts("SELECT ex_id, conforms FROM conf", REPORT_CTES))
 def v1_v3_conformance(spark, sf_dir):
-    return conformance(spark, sf_dir)
+    return conformance(kept_facts(spark, sf_dir))
 
 
 @query("g7_a13_funnel", with_facts(
@@ -195,9 +202,9 @@ def g7_a13_funnel(spark, sf_dir):
     a = ab.agg(F.count(F.lit(1)).alias("n_entities"),
                F.count_if((F.length("abstract") > 5) & ~F.contains("abstract", F.lit("{{"))
                           & ~F.contains("abstract", F.lit("}}"))).alias("n_abstract_ok"))
-    g = grounded(spark, sf_dir).where(F.col("kept").isNotNull()).agg(
-        F.countDistinct("ex_id").alias("n_grounded"))
-    c = conformance(spark, sf_dir).agg(F.count_if("conforms").alias("n_conforming"))
+    kept = kept_facts(spark, sf_dir)
+    g = kept.agg(F.countDistinct("ex_id").alias("n_grounded"))
+    c = conformance(kept).agg(F.count_if("conforms").alias("n_conforming"))
     # three one-row aggregates side by side: a join of single rows
     one = lambda d: d.withColumn("_k", F.lit(1))
     return one(a).join(one(g), "_k").join(one(c), "_k").drop("_k")
@@ -206,7 +213,7 @@ def g7_a13_funnel(spark, sf_dir):
 def sample_and_split(spark, sf_dir, sample: int | None = None) -> DataFrame:
     """O2 exact 60/20/20 split of the conforming entities in seeded order; with
     ``sample`` of the first so many of them (O1)."""
-    conf = conformance(spark, sf_dir).where("conforms").select("ex_id")
+    conf = conformance(kept_facts(spark, sf_dir)).where("conforms").select("ex_id")
     h = F.md5(F.concat(F.lit(SEED), F.lit("Customer_"), F.col("ex_id").cast("string")))
     top = conf.withColumn("h", h)
     top = cut_lineage(top if sample is None else top.orderBy("h").limit(sample))
