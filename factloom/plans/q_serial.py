@@ -70,7 +70,10 @@ WHERE g.ex_id % 13 = 0 GROUP BY g.syntax""", FLAGS_CTE.strip() + ",\n" + _PRED_F
 def a7_edit_distance(spark, sf_dir):
     """Mean edit distance between the texts of examples whose prediction does not
     parse and whose gold does, by syntax."""
-    failed = EV.decoded_predictions(spark, sf_dir, _EDITED).where(F.col("gold_parsed") & ~F.col("pred_parsed"))
-    return failed.groupBy("syntax").agg(
-        F.count(F.lit(1)).alias("n_failed"),
-        S.r6(F.avg(F.levenshtein(F.col("pred_text"), F.col("gold_text")))).alias("avg_edit_dist"))
+    # No filter before the aggregate: it would be moved below the decoding, which would then
+    # run for the filter, several times a text, and again for the rows left.
+    failed = F.col("gold_parsed") & ~F.col("pred_parsed")
+    rows = EV.decoded_predictions(spark, sf_dir, _EDITED).select("syntax", failed.alias("failed"), *[
+        F.when(failed, F.col(f"{side}_text")).alias(f"{side}_text") for side in ("pred", "gold")])
+    return rows.withColumn("dist", S.edit_distance(F.col("pred_text"), F.col("gold_text"))).groupBy("syntax").agg(
+        F.count_if("failed").alias("n_failed"), S.r6(F.avg("dist")).alias("avg_edit_dist")).where("n_failed > 0")
